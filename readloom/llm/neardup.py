@@ -29,7 +29,7 @@ from readloom.session import checkpointed
 SHINGLE = 12
 ROWS = 3
 #: Chance that a pair exactly at the threshold is in no common band.
-MISS = 1e-3
+MISS = 1e-5
 #: A bucket of more records is cut into blocks of this size; all block pairs are still compared.
 BLOCK = 256
 SEED = 0x9E3779B97F4A7C15
@@ -53,17 +53,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-def shingle_hashes(text: str, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the substrings of ``size`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all substrings of ``size`` characters, and the text each is from; repeats stay."""
+    data = "".join(texts).encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(data, np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], np.int64)
     n = len(codes) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.full(n, np.uint64(SEED))
     for i in range(size):
         h = (h ^ codes[i : i + n]) * np.uint64(0x100000001B3)
         h ^= h >> np.uint64(29)
-    return np.unique(_mix(h))
+    owner = np.repeat(np.arange(len(texts)), lengths)[:n]
+    inside = np.arange(n) + size <= np.cumsum(lengths)[owner]  # not across two texts
+    return _mix(h[inside]), owner[inside]
 
 
 def dart_signatures(
@@ -71,46 +75,54 @@ def dart_signatures(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of many weighted sets at once.
 
-    ``owner`` gives the set (0..sets-1) of each element.  Returns the values,
-    ``sets`` x ``k`` of uint64, and which sets have any element.
+    ``owner`` gives the set (0..sets-1) of each element.  An element listed
+    twice with the same weight counts once, as its darts are the same.
+    Returns the values, ``sets`` x ``k`` of uint64, and which sets have any
+    element.
     """
     total = np.bincount(owner, weights=weights, minlength=sets)
-    best_rank = np.full(sets * k, np.inf)
-    best_dart = np.zeros(sets * k, np.uint64)
+    best = np.zeros(sets * k, np.uint64)
+    empty = np.ones(sets * k, bool)
     filled = total > 0
     todo = filled.copy()
     darts = k * math.log(k) + 2 * k
     start = np.zeros(sets)
     stop = np.divide(darts, total, out=np.zeros(sets), where=filled)
     strips = np.ceil(weights).astype(np.int64)
+    whole = bool((strips == weights).all())  # then no dart lies beyond its element's weight
+    live = np.flatnonzero(strips > 0)
     while todo.any():
-        live = np.flatnonzero(todo[owner] & (strips > 0))
-        lo = np.floor(start[owner[live]]).astype(np.int64)
-        cells = (np.ceil(stop[owner[live]]).astype(np.int64) - lo) * strips[live]
+        live = live[todo[owner[live]]]
+        own = owner[live]
+        lo = np.floor(start[own]).astype(np.int64)
+        cells = (np.ceil(stop[own]).astype(np.int64) - lo) * strips[live]
         # one row per (element, weight strip, rank cell)
         e = np.repeat(live, cells)
         number = np.arange(len(e)) - np.repeat(np.cumsum(cells) - cells, cells)
         strip, cell = number % strips[e], number // strips[e] + np.repeat(lo, cells)
-        h = _mix(elements[e] + _mix(strip.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + cell.astype(np.uint64) + np.uint64(SEED)))
+        place = (strip.astype(np.uint64) << np.uint64(32)) + cell.astype(np.uint64) + np.uint64(1)
+        h = _mix(elements[e] + place * np.uint64(0xD1B54A32D192ED03))
         count = np.searchsorted(_CDF, _unit(h), side="right")
         d = np.repeat(np.arange(len(e)), count)
         nth = (np.arange(len(d)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         dart = _mix(h[d] + (nth + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7))
+        # the upper bits of a dart give its rank, the lower ones its coordinate
+        rank = cell[d] + (dart >> np.uint64(24)).astype(np.float64) * (1.0 / (1 << 40))
         own = owner[e[d]]
-        rank = cell[d] + _unit(_mix(dart ^ np.uint64(0xA0761D6478BD642F)))
-        weight = strip[d] + _unit(_mix(dart ^ np.uint64(0xE7037ED1A0B428DB)))
-        hit = (weight < weights[e[d]]) & (rank >= start[own]) & (rank < stop[own])
+        hit = (rank >= start[own]) & (rank < stop[own])
+        if not whole:
+            weight = strip[d] + _unit(_mix(dart ^ np.uint64(0xE7037ED1A0B428DB)))
+            hit &= weight < weights[e[d]]
         own, rank, dart = own[hit], rank[hit], dart[hit]
-        slot = own * k + (_mix(dart ^ np.uint64(0x589965CC75374CC3)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((dart, rank, slot))
-        slot, rank, dart = slot[order], rank[order], dart[order]
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        slot, rank, dart = slot[first], rank[first], dart[first]
-        better = rank < best_rank[slot]  # a later window never beats an earlier one
-        best_rank[slot[better]], best_dart[slot[better]] = rank[better], dart[better]
-        todo &= ~np.isfinite(best_rank).reshape(sets, k).all(axis=1)
+        slot = own * k + (((dart & np.uint64(0xFFFFFF)) * np.uint64(k)) >> np.uint64(24)).astype(np.int64)
+        fresh = empty[slot]  # a later window never beats an earlier one
+        slot, rank, dart = slot[fresh], rank[fresh], dart[fresh]
+        order = np.argsort(-rank, kind="stable")
+        best[slot[order]] = dart[order]  # the least rank is written last
+        empty[slot] = False
+        todo &= empty.reshape(sets, k).any(axis=1)
         start, stop = np.where(todo, stop, start), np.where(todo, 2 * stop, stop)
-    return best_dart.reshape(sets, k), filled
+    return best.reshape(sets, k), filled
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -121,21 +133,19 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(SEED))
 
 
-def _signer(size: int, bands: int, rows: int, chunk: int = 256):
+def _signer(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
                 # as many texts as keep the arrays small, whatever their length
-                parts, end, letters = [], at, 0
-                while end < len(texts) and (end == at or (end - at < chunk and letters < 200_000)):
-                    parts.append(shingle_hashes(texts[end], size))
+                end, letters = at, 0
+                while end < len(texts) and (end == at or letters < 20_000):
                     letters += len(texts[end])
                     end += 1
-                owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                elements = np.concatenate(parts)
-                signatures, filled = dart_signatures(elements, np.ones(len(elements)), owner, len(parts), bands * rows)
+                elements, owner = shingle_hashes(texts[at:end], size)
+                signatures, filled = dart_signatures(elements, np.ones(len(elements)), owner, end - at, bands * rows)
                 keys = band_keys(signatures[filled], bands, rows)
                 rows_of = np.flatnonzero(filled) + at
                 if len(rows_of):
