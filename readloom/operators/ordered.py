@@ -82,17 +82,16 @@ def exclude_degenerate(df: DataFrame, by: Sequence[str] = (), prefix: int = 16)
         sizes = F.explode(F.array(*map(F.lit, lengths)))
         heads = heads.select(*by, "_n", "_p", sizes.alias("_k")).where("_k < _n")
         heads = heads.select(*by, F.left("_p", F.col("_k")).alias("seq")).distinct()
-        short = seqs.where(F.length("seq") < prefix).join(heads, [*by, "seq"], "left_semi")
+        short = _join_nulls(seqs.where(F.length("seq") < prefix), heads, [*by, "seq"], "left_semi")
         extended = extended.unionByName(short)
-    return _anti(reads, extended, [*by, "seq"])
+    return _join_nulls(reads, extended, [*by, "seq"], "left_anti")
 
 
-def _anti(df: DataFrame, drop: DataFrame, keys: list[str]) -> DataFrame:
-    """Left anti join in which null keys equal each other."""
+def _join_nulls(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join in which null keys equal each other."""
     names = {k: f"_d_{i}" for i, k in enumerate(keys)}
-    drop = drop.select(*[F.col(k).alias(n) for k, n in names.items()])
-    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    return df.join(drop, on, "left_anti")
+    other = other.select(*[F.col(k).alias(n) for k, n in names.items()])
+    return df.join(other, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how)
 
 
 def exclude_degenerate_in_order(df: DataFrame, by: Sequence[str], order: str = "ordinal") -> DataFrame:
