@@ -54,7 +54,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all substrings of ``size`` characters, and the text each is from; repeats stay."""
+    """64-bit hashes of the distinct substrings of ``size`` characters of each text, and the text each is from."""
     data = "".join(texts).encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(data, np.uint32).astype(np.uint64)
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -67,7 +67,12 @@ def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
         h ^= h >> np.uint64(29)
     owner = np.repeat(np.arange(len(texts)), lengths)[:n]
     inside = np.arange(n) + size <= np.cumsum(lengths)[owner]  # not across two texts
-    return _mix(h[inside]), owner[inside]
+    h, owner = _mix(h[inside]), owner[inside]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new]
 
 
 def dart_signatures(
