@@ -50,7 +50,7 @@ GRAMMARS: tuple[tuple[str, str, re.Pattern], ...] = tuple(
     (kind, shape, re.compile(pattern, flags))
     for kind, shape, pattern, flags in (
         ("email", "mail", rf"(?<![\w.+\-])[\w.+\-]*\w{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}{_L}{{2,}}(?![\w\-])", 0),
-        ("phone", "plus", rf"(?<!\w)\+\d{{1,3}}(?:[ .\-\u00a0]?\(?\d+\)?){{1,7}}{_TO}", 0),
+        ("phone", "plus", rf"(?<!\w)\+\d{{1,3}}(?:[ .\- ]?(?:\(\d+\)|\d+)){{1,7}}{_TO}", 0),
         ("phone", "zeros", rf"{_FROM}00[1-9]\d(?:[ .\-\u00a0]\d+){{1,6}}{_TO}", 0),
         ("phone", "paren", rf"(?<!\w)\(\d{{2,5}}\)[ \u00a0]?\d{{3,}}(?:[ \-\u00a0]\d+)*{_TO}", 0),
         ("phone", "trunk", rf"{_FROM}0\d{{1,4}}(?:[ .\-/\u00a0]\d{{2,8}}){{1,5}}{_TO}", 0),
@@ -69,7 +69,8 @@ GRAMMARS: tuple[tuple[str, str, re.Pattern], ...] = tuple(
         ("address", "en", rf"{_FROM}\d{{1,4}}[A-Za-z]?{_S}(?:(?:Old|New|Upper|Lower|North|South|East|West|Great|Little){_S})?{_CAP}{_S}(?:{_STREET_EN})(?!\w)", re.I),
         ("address", "fr", rf"{_FROM}\d{{1,4}}(?:{_S}?(?:bis|ter|quater|[A-D](?!\w)))?,?{_S}(?:{_STREET_FR}){_S}(?:(?:de|du|des|de{_S}la){_S}|d['’]|de{_S}l['’])?{_CAP}", re.I),
         ("address", "es", rf"(?<!\w)(?:{_STREET_ES}){_S}?(?:(?:de|del|de{_S}la|de{_S}los){_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n[.ºo°]*{_S}?)?\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
-        ("address", "de", rf"(?<!\w){_L}+(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|ufer|damm){_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
+        ("address", "de", rf"(?<!\w){_L}+(?:str\.|straße|strasse|weg|gasse|allee|platz){_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
+        ("address", "de_weak", rf"(?<!\w){_L}+(?:ring|ufer|damm|wall|graben|stieg){_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
         ("address", "de_am", rf"(?<!\w)(?:Am|An{_S}der|Im|In{_S}der|Zum|Zur|Auf{_S}dem){_S}{_CAP}{_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", 0),
         ("address", "sv", rf"(?<!\w){_L}+(?:gatan|vägen|gränden|stigen|allén){_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
         ("address", "sv_torg", rf"(?<!\w){_CAP}{_S}(?:torg|gata|väg|gränd){_S}\d{{1,4}}{_SUPPLEMENT}(?!\w)", re.I),
@@ -87,6 +88,7 @@ CUES = {
 }
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
 _WORD = re.compile(rf"{_L}+")
+_DIGITS = re.compile(r"\d")
 _TOKEN = re.compile(rf"{_L}+|\d+|[^\s\w]|_")
 _NAME_WORD = re.compile(rf"{_L}+(?:['’]{_L}+)*")
 _INITIALS = re.compile(rf"(?:{_L}\.{_D}){{1,3}}\Z")
@@ -106,6 +108,7 @@ def _cue(text: str, start: int) -> str:
     before = text[max(0, start - 32) : start]
     if (cut := max(before.rfind("\n\n"), before.rfind("; "), before.rfind("! "), before.rfind("? "))) >= 0:
         before = before[cut:]
+    before = _DIGITS.split(before)[-1]  # what stood before another number announced that one
     words = [w.lower() for w in _WORD.findall(before)][-3:]
     for w in reversed(words):
         if w in _CUE and not (w in ("e", "n", "at", "le") and w != words[-1]):
@@ -207,7 +210,7 @@ def rule_accepts(c: Candidate, others: list[Candidate]) -> bool:
     if c.kind == "name":
         return c.shape != "family_only"
     if c.kind == "address":
-        return True
+        return c.shape != "de_weak" or c.cue == "address"
     if c.cue == "thing":
         return False
     rival = [o for o in others if o is not c and {o.kind, c.kind} == {"phone", "id_number"} and o.start < c.end and c.start < o.end]
@@ -384,6 +387,10 @@ def fit(texts: list[str], names: NameFinder, steps: int = 150, max_nodes: int =
     for kind in KINDS:
         for at in "BI":
             index[f"k={kind}:{at}"] = len(index)
+            index[f"c={kind}/thing:{at}"] = len(index)
+    for at in "BI":
+        index[f"s=name/family_only:{at}"] = len(index)
+        index[f"s=address/de_weak:{at}"] = len(index)
     for fs in nodes.features:
         for f in fs:
             index.setdefault(f, len(index))
@@ -393,7 +400,7 @@ def fit(texts: list[str], names: NameFinder, steps: int = 150, max_nodes: int =
         prior[index[f"k={kind}:B"], 1 + 2 * k] = 3.0
         prior[index[f"k={kind}:I"], 2 + 2 * k] = 3.0
     for f, i in index.items():
-        if f.startswith("s=name/family_only"):
+        if f.startswith(("s=name/family_only", "s=address/de_weak")):
             prior[i, 0] = 6.0
         elif f.startswith("c=") and "/thing:" in f:
             prior[i, 0] = 3.0
