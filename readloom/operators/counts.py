@@ -19,6 +19,12 @@ def length_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col("seq").isNotNull()).groupBy(*by, seq_length(F.col("seq")).alias("length")).agg(F.count("*").alias("reads"))
 
 
+def with_histogram(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows, kept for two actions, and their length histogram on the side; unpersist the first when done."""
+    kept = df.persist()
+    return kept, length_histogram(kept, by)
+
+
 def sum_histograms(*parts: DataFrame) -> DataFrame:
     """Counts per length over several histograms, whatever their second column is called."""
     whole = None

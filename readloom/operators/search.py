@@ -17,8 +17,8 @@ def _hits(seq: Column, pattern: str, ignore_case: bool) -> Column:
 def find_fragments(df: DataFrame, pattern: str, name: str | None = None, ignore_case: bool = True) -> DataFrame:
     """BED rows of ``pattern`` in (id, seq): overlapping hits, one per start and strand.
 
-    A look-ahead tries every position in the JVM.  The pattern must have no
-    capturing group of its own; matches without letters are not reported.
+    A look-ahead tries every position in the JVM.  Back-references in the
+    pattern count from 2; matches without letters are not reported.
     """
     size = F.length("seq")
     plus = df.select("id", size.alias("n"), F.lit("+").alias("strand"), F.posexplode(_hits(F.col("seq"), pattern, ignore_case)))

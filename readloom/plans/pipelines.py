@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.counts import length_histogram
+from readloom.operators.counts import count_per_base, length_histogram
 from readloom.operators.demux import demultiplex
 from readloom.operators.ordered import exclude_degenerate, exclude_duplicate
 from readloom.operators.reads import (
@@ -85,6 +87,14 @@ def depth_curve(
     return raw.join(nr, "draw", "left").select(F.col("draw").cast("bigint").alias("draw"), "raw", F.coalesce("nr", F.lit(0)).alias("nr"))
 
 
+def alignment_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Per-base 5'-end counts of the unique alignments in BAM files, each named after its file."""
+    from readloom.sources.bam import read_bam
+
+    sample = F.regexp_extract("file", r"([^/]+?)(?:\.bam)?$", 1)
+    return count_per_base(read_bam(spark, paths, unique=True).withColumn("sample", sample), F.col("sample"))
+
+
 def reference_sequences(genome: DataFrame, spikes: DataFrame, ribosome: DataFrame) -> DataFrame:
     """Genome, spike-in and ribosomal sequences in one table."""
     return genome.select("id", "seq").unionByName(spikes.select("id", "seq")).unionByName(ribosome.select("id", "seq"))

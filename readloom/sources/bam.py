@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ class BamSource(DataSource):
         return _BamReader(local_paths(self.options["path"].split(",")))
 
 
-def read_bam(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
+def read_bam(spark: SparkSession, path: str | Sequence[str], unique: bool = False) -> DataFrame:
     """Mapped alignments; ``unique`` leaves out those whose NH tag tells of several hits."""
     spark.dataSource.register(BamSource)
     df = spark.read.format("bam").load(",".join(local_paths(path)))
