@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAB = "\t"
@@ -59,3 +59,15 @@ def char_class(chars: str, negate: bool = False) -> str:
 
 def read_line(*fields: str) -> Column:
     return F.concat_ws(TAB, *[F.col(f) for f in fields])
+
+
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds or replaces columns that are computed once.
+
+    Projections are merged by the optimizer, which repeats a costly expression at every use above it; a
+    generator of one row is not merged.
+    """
+    once = F.inline(F.array(F.struct(*[c.alias(f"_pin_{n}") for n, c in columns.items()])))
+    wide = df.select("*", once)
+    names = [*df.columns, *[n for n in columns if n not in df.columns]]
+    return wide.select(*[F.col(f"_pin_{n}").alias(n) if n in columns else F.col(f"`{n}`") for n in names])

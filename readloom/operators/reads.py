@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions.columns import char_class, read_line
+from readloom.functions.columns import char_class, pinned, read_line
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -38,22 +38,28 @@ def annotate_umi(first: int = 1, last: int = 6) -> Step:
     return run
 
 
-def _cut(df: DataFrame, keep: Column, minimum: int, exempt: Column | None = None) -> DataFrame:
-    """Shortens seq and qual to ``keep`` letters; drops what ends up too short, except exempt rows."""
-    good = (keep > 0) & (keep >= minimum)
+def _cut(df: DataFrame, keep: Column, minimum: int, exempt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Shortens seq and qual to ``keep`` letters; drops what ends up too short, unless exempt by what was cut."""
+    rows = pinned(df.where(F.col("seq").isNotNull()), {"_keep": keep})
+    good = F.col("_keep") >= max(1, minimum)
     if exempt is not None:
-        good = exempt | good
-    return df.where(F.col("seq").isNotNull() & good).withColumns({"seq": F.left("seq", keep), "qual": F.left("qual", keep)})
+        good = exempt(F.length("seq") - F.col("_keep")) | good
+    cut = {c: F.left(c, F.col("_keep")) for c in ("seq", "qual")}
+    return pinned(rows.where(good), cut).drop("_keep")
 
 
 def trim_3end_length(length: int = 1, minimum: int = 40) -> Step:
     return lambda df: _cut(df, F.length("seq") - length, minimum)
 
 
+def good_length(low: str = LOW_QUALITIES, qual: str = "qual") -> Column:
+    """Letters before the first low-quality character."""
+    return F.length(F.regexp_extract(qual, "^" + char_class(low, negate=True) + "*", 0))
+
+
 def trim_3end_quality(low: str = LOW_QUALITIES, minimum: int = 40) -> Step:
     """Cuts at the first low-quality character; the minimum holds for every read."""
-    good = F.length(F.regexp_extract("qual", "^" + char_class(low, negate=True) + "*", 0))
-    return lambda df: _cut(df, good, minimum)
+    return lambda df: _cut(df, good_length(low), minimum)
 
 
 def trim_3end(sequence: str, minimum: int = 40) -> Step:
@@ -62,7 +68,7 @@ def trim_3end(sequence: str, minimum: int = 40) -> Step:
     def run(df: DataFrame) -> DataFrame:
         hit = F.col("seq").endswith(sequence)
         keep = F.when(hit, F.length("seq") - len(sequence)).otherwise(F.length("seq"))
-        return _cut(df.withColumn("is_trimmed", hit), keep, minimum, ~hit)
+        return _cut(df.withColumn("is_trimmed", hit), keep, minimum, lambda cut: cut == 0)
 
     return run
 
@@ -84,32 +90,25 @@ def primer_fragments(primers: Sequence[str]) -> tuple[list[str], int]:
     return out, 0
 
 
-def primer_regex(primers: Sequence[str], shortest: int = 1) -> str:
-    """Matches the longest read suffix that is a primer prefix of at least ``shortest`` letters."""
+def primer_cut(primers: Sequence[str], seq: Column) -> Column:
+    """Letters to cut at the 3' end.
 
-    def nested(primer: str) -> str:
-        tail = ""
-        for c in reversed(primer[shortest:]):
-            tail = f"(?:{c}{tail})?"
-        return primer[:shortest] + tail
-
-    return "(?:" + "|".join(nested(p) for p in dict.fromkeys(primers) if len(p) >= shortest) + r")\z"
+    Suffix tests on bytes, longest first; several times faster here than a regular expression.
+    """
+    fragments, always = primer_fragments(primers)
+    cut = F.lit(always)
+    if fragments:
+        chain = F.when(seq.endswith(fragments[0]), len(fragments[0]))
+        for f in fragments[1:]:
+            chain = chain.when(seq.endswith(f), len(f))
+        cut = chain.otherwise(always)
+    return cut
 
 
 def trim_3end_primer(primers: Sequence[str] = PRIMERS, minimum: int = 40) -> Step:
     """Cuts the longest read suffix that is a prefix of a primer; reads without one pass."""
-    _, always = primer_fragments(primers)
-    pattern = primer_regex(primers, always + 1) if any(len(p) > always for p in primers) else None
-
-    def run(df: DataFrame) -> DataFrame:
-        cut = F.length(F.regexp_extract("seq", pattern, 0)) if pattern else F.lit(0)
-        hit = cut > 0
-        if always:
-            cut = F.when(hit, cut).otherwise(F.lit(always))
-            return _cut(df, F.length("seq") - cut, minimum)
-        return _cut(df, F.length("seq") - cut, minimum, ~hit)
-
-    return run
+    keep = F.length("seq") - primer_cut(primers, F.col("seq"))
+    return lambda df: _cut(df, keep, minimum, lambda cut: cut == 0)
 
 
 def trim_5end(pattern: str, minimum: int = 24) -> Step:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.counts import count_per_base, length_histogram
+from readloom.functions.columns import pinned
+from readloom.operators.counts import count_per_base
 from readloom.operators.demux import demultiplex
 from readloom.operators.ordered import exclude_degenerate, exclude_duplicate
 from readloom.operators.reads import (
@@ -15,8 +16,10 @@ from readloom.operators.reads import (
     PRIMERS,
     annotate_index,
     annotate_umi,
+    good_length,
     head_reads,
     match_5end,
+    primer_cut,
     trim_3end_primer,
     trim_3end_quality,
     trim_5end,
@@ -45,18 +48,36 @@ def prepare_reads(
     named = canonical.transform(annotate_index(umi_length + 1, umi_length + bc_length)).transform(annotate_umi(1, umi_length))
     s3 = demultiplex(named, barcodes, distance)
     s4 = exclude_duplicate(s3, ["well"])
-    s5 = trim_3end_quality()(s4)
-    s6 = trim_3end_primer()(s5)
+    s6 = s4.transform(trim_3end_quality()).transform(trim_3end_primer())
     s7 = exclude_degenerate(s6, ["well"])
     s8 = trim_5end(tso + "+", minimum)(s7)
-    counts = None
-    for n, df in enumerate((raw, canonical, s3, s4, s5, s6, s7, s8), 1):
-        hist = length_histogram(df.withColumn("well", F.lit(None).cast("string")) if n < 3 else df, ["well"])
-        hist = hist.select(F.lit(n).alias("step"), "well", "length", "reads")
-        counts = hist if counts is None else counts.unionByName(hist)
+
+    size = F.length("seq")
+    # steps 4 to 6 only shorten or drop single reads, so one pass over step 4 counts all three; likewise 7 and 8
+    best = pinned(s4, {"kept": F.when(good_length() >= 40, F.left("seq", good_length()))})
+    best = pinned(best, {"cut": primer_cut(PRIMERS, F.col("kept"))})
+    left = F.length("kept") - F.col("cut")
+    primed, head_size = F.col("seq").rlike(f"^(?:{tso}+)"), F.length(F.regexp_extract("seq", f"^(?:{tso}+)", 0))
+    rest = F.when(primed, size - head_size).otherwise(size)
+    parts = [
+        _steps(raw.withColumn("well", F.lit(None).cast("string")), {1: size, 2: F.when(F.col("seq").rlike(f"^(?:{tso})"), size)}),
+        _steps(s3, {3: size}),
+        _steps(best, {4: size, 5: F.length("kept"), 6: F.when((F.col("cut") == 0) | (left >= 40), left)}),
+        _steps(s7, {7: size, 8: F.when(~primed | (rest >= minimum), rest)}),
+    ]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
     return s8, counts
 
 
+def _steps(df: DataFrame, lengths: dict[int, Column]) -> DataFrame:
+    """Histograms of several steps in one pass; a read that a step drops has a null length there."""
+    listed = F.array(*[F.struct(F.lit(n).alias("step"), c.cast("bigint").alias("length")) for n, c in lengths.items()])
+    rows = df.select("well", F.inline(listed)).where("length is not null")
+    return rows.groupBy("step", "well", "length").agg(F.count("*").alias("reads"))
+
+
 def depth_curve(
     reads: DataFrame,
     *,
@@ -75,15 +96,33 @@ def depth_curve(
     head = "." * (umi_length + barcode_length) + "G" * (gap_length - 1)
     whole = minimum + umi_length + barcode_length + gap_length
     usable = reads.where(F.col("seq").isNotNull())
-    draws = F.sequence((F.col("ordinal") % levels + 1).cast("int"), F.lit(levels))
-    drawn = usable.select("ordinal", "acc", "seq", "sep", "qual", F.explode(draws).alias("draw"))
-    raw = drawn.groupBy("draw").agg(F.count("*").alias("raw"))
-    kept = exclude_duplicate(drawn, ["draw"])
-    kept = kept.transform(match_5end(head)).transform(without_n()).transform(trim_3end_quality(low, whole))
-    kept = exclude_degenerate(kept.transform(trim_3end_primer(PRIMERS[:1], whole)), ["draw"])
+    slot = (F.col("ordinal") % levels).cast("int")
+    by_slot = usable.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    draws = F.explode(F.sequence(F.col("slot") + 1, F.lit(levels)))
+    raw = by_slot.select("n", draws.alias("draw")).groupBy("draw").agg(F.sum("n").alias("raw"))
+
+    # Which copy of a sequence stays at a depth only matters through its quality, so one value per sequence and
+    # slot goes on: the good length of the copy that is first in order. At most ``levels`` per sequence.
+    first = F.struct(F.concat_ws("\t", "sep", "qual").alias("q"), "acc", (-F.col("ordinal")).alias("o"), good_length(low).alias("n"))
+    fit = usable.transform(match_5end(head)).transform(without_n())
+    slots = fit.groupBy("seq", slot.alias("slot")).agg(F.max(first).alias("best"))
+    table = slots.groupBy("seq").agg(F.collect_list(F.struct("slot", "best")).alias("slots"))
+    at_depth = F.transform(
+        F.sequence(F.lit(1), F.lit(levels)),
+        lambda d: F.struct(d.alias("draw"), F.array_max(F.transform(F.filter("slots", lambda s: s["slot"] < d), lambda s: s["best"]))["n"].alias("n")),
+    )
+    drawn = table.select("seq", F.inline(at_depth)).where((F.col("n") > 0) & (F.col("n") >= whole))
+    # trimming depends on sequence and length only: done once for all depths that agree
+    alike = drawn.groupBy("seq", "n").agg(F.collect_list("draw").alias("draws"))
+    alike = pinned(alike.select("draws", F.left("seq", F.col("n")).alias("kept")), {"cut": primer_cut(PRIMERS[:1], F.col("kept"))})
+    left = F.length("kept") - F.col("cut")
+    fitting = alike.where((F.col("cut") == 0) | (left >= whole))
+    trimmed = fitting.select(F.left("kept", left).alias("seq"), F.explode("draws").alias("draw"))
+    counted = trimmed.groupBy("draw", "seq").agg(F.count("*").alias("n"))
+    kept = exclude_degenerate(counted, ["draw"])
     if tss:
-        kept = trim_5end(head + "+", minimum)(kept).select("draw", "seq").distinct()
-    nr = kept.groupBy("draw").agg(F.count("*").alias("nr"))
+        kept = trim_5end(head + "+", minimum)(kept.withColumn("qual", F.lit(None).cast("string"))).groupBy("draw", "seq").agg(F.lit(1).alias("n"))
+    nr = kept.groupBy("draw").agg(F.sum("n").cast("bigint").alias("nr"))
     return raw.join(nr, "draw", "left").select(F.col("draw").cast("bigint").alias("draw"), "raw", F.coalesce("nr", F.lit(0)).alias("nr"))
 
 

@@ -154,11 +154,19 @@ def trim_3end(spark, d):
     return R.trim_3end("AG")(reads(spark, d))
 
 
+
+
+def _primer_sql(primers) -> str:
+    """A regular expression for the longest suffix that is a prefix of a primer."""
+    fragments = sorted({p[:i] for p in primers for i in range(1, len(p) + 1)}, key=lambda f: (-len(f), f))
+    return f"(?:{'|'.join(fragments)})$"
+
+
 _PRIMER_SQL = """select ordinal, acc, left(seq, length(seq) - n) as seq, sep, left(qual, length(seq) - n) as qual
 from (select *, length(regexp_extract(seq, '{}')) as n from {} where seq is not null) where n = 0 or length(seq) - n >= {}"""
 
 
-@query(_PRIMER_SQL.format(R.primer_regex(R.PRIMERS), "reads", 40))
+@query(_PRIMER_SQL.format(_primer_sql(R.PRIMERS), "reads", 40))
 def trim_primer(spark, d):
     return R.trim_3end_primer()(reads(spark, d))
 
@@ -250,7 +258,7 @@ def demultiplexed(spark, d):
 
 # Pipelines ----------------------------------------------------------------------------------------------------------
 
-_CUT_PRIMER = R.primer_regex(R.PRIMERS)
+_CUT_PRIMER = _primer_sql(R.PRIMERS)
 _STEPS = f"""
 with s1 as (select * from reads where seq is not null),
 s2 as (select * from s1 where regexp_matches(seq, '^(?:{_TSO})')),
@@ -290,7 +298,7 @@ with drawn as (select r.*, g.draw from (select * from reads where seq is not nul
 a as (select * from drawn {_W1.format("draw, ")}),
 b as (select * from a where regexp_matches(seq, '^(?:{_DEPTH_HEAD})') and not contains(seq, 'N')),
 q as (select draw, left(seq, n) as seq from (select *, length(regexp_extract(qual, '^[^!"#]*')) as n from b) where n >= 40),
-p as (select draw, left(seq, length(seq) - n) as seq from (select *, length(regexp_extract(seq, '{R.primer_regex(R.PRIMERS[:1])}')) as n from q)
+p as (select draw, left(seq, length(seq) - n) as seq from (select *, length(regexp_extract(seq, '{_primer_sql(R.PRIMERS[:1])}')) as n from q)
   where n = 0 or length(seq) - n >= 40),
 {_W2.format("p", "draw, ", "partition by draw ")},
 z as (select p.draw, p.seq from p join p_n n on n.draw = p.draw and n.seq = p.seq where nx is null or not starts_with(nx, p.seq))
