@@ -125,7 +125,6 @@ def share_threshold(share: float | str, total: int) -> int:
 def heavy_keys(df: DataFrame, key: str, share: float = 0.05, **tree) -> DataFrame:
     """Non-null keys holding at least ``share`` of all rows, with their row counts."""
     least = share_threshold(share, df.count())
-    counts = tree_aggregate(df, [key], [Agg("rows", "count")], **tree)
-    return counts.where(F.col(key).isNotNull() & (F.col("rows") >= least)).select(
-        F.col(key).cast("string").alias("key_value"), "rows"
-    )
+    keys = df.select(F.col(f"`{key}`").cast("string").alias("key_value"))
+    counts = tree_aggregate(keys, ["key_value"], [Agg("rows", "count")], **tree)
+    return counts.where(F.col("key_value").isNotNull() & (F.col("rows") >= least))

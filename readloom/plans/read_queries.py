@@ -362,15 +362,15 @@ def spike_sequences(spark, d):
 
 
 @query(f"""select acc, length(seq) as len from (
-  select regexp_extract(id, '^\\s*(\\S*)', 1) as acc, seq from contigs where seq is not null and not contains(id, '_')
+  select regexp_extract(id, '^\\s*(\\S*)', 1) as acc, seq from contigs where seq is not null and not contains(id, '_') and assembly not in ('asm_draft', 'patch')
   union all select 'RNA_SPIKE_' || id, {_SPIKE_SEQ} from contigs where seq is not null and assembly = 'asm_draft'
-  union all select 'RIBO_U13369.1', seq from contigs where seq is not null and contig_id = 1)""")
+  union all select 'RIBO_U13369.1', seq from contigs where seq is not null and assembly = 'patch')""")
 def reference_index(spark, d):
-    """Genome, spike-in and ribosomal sequences joined, with their lengths."""
+    """Genome, spike-in and ribosomal sequences joined, with their lengths; the assembly tells the role."""
     seqs = table(spark, d, "contigs").where("seq is not null")
-    genome = T.normalised_fasta(T.primary_sequences(seqs))
+    genome = T.normalised_fasta(T.primary_sequences(seqs.where("assembly not in ('asm_draft', 'patch')")))
     spikes = T.spike_sequences(seqs.where("assembly = 'asm_draft'"))
-    ribosome = T.ribosome_sequences(seqs.where("contig_id = 1"))
+    ribosome = T.ribosome_sequences(seqs.where("assembly = 'patch'"))
     return T.sequence_index(reference_sequences(genome, spikes, ribosome))
 
 
@@ -450,7 +450,7 @@ t as (select r.name as id, h.base, sum(h.score) as r from hit_regions r join reg
 s as (select base, sum(r) as spike from t where starts_with(id, 'RNA_SPIKE_') group by base)"""
 
 
-@query(_QUANT + """ select t.id as "ID", t.base, cast(t.r as bigint) as "R", round(cast(t.r as double) / s.spike * 1000, 6) as "N", coalesce(cast(f.len as varchar), 'NA') as len
+@query(_QUANT + """ select t.id as "ID", t.base, cast(t.r as bigint) as "R", round(cast(t.r as double) / cast(coalesce(s.spike, 0) as double) * 1000, 6) as "N", coalesce(cast(f.len as varchar), 'NA') as len
 from t left join s using (base) left join fasta_index f on f.acc = t.id""")
 def quantify(spark, d):
     annotations = table(spark, d, "fasta_index").select(F.col("acc").alias("ID"), "len")
@@ -485,9 +485,9 @@ w as (select base, sum(score) as mapped from m group by base), t as (select base
 b as (select distinct base from samples where base is not null)
 select b.base, total as "TOTAL_READS", cast(mapped as bigint) as "MAPPED_READS", cast(ribo as bigint) as "RIBOSOME_READS",
   cast(spike as bigint) as "SPIKEIN_READS", cast(spike5 as bigint) as "SPIKEIN_5END_READS", cast(cod as bigint) as "CODING_READS",
-  cast(cod5 as bigint) as "CODING_5END_READS", round(mapped::double / total, 6) as "MAPPED_RATE", round(spike5::double / spike, 6) as "SPIKEIN_5END_RATE",
-  round((mapped - ribo - spike)::double / spike5, 6) as "RELATIVE_POLYA_RNAS", round(cod5::double / cod, 6) as "CODING_5END_RATE",
-  round(cod5::double / spike5, 6) as "RELATIVE_MRNAS"
+  cast(cod5 as bigint) as "CODING_5END_READS", round(mapped::double / total::double, 6) as "MAPPED_RATE", round(spike5::double / spike::double, 6) as "SPIKEIN_5END_RATE",
+  round((mapped - ribo - spike)::double / spike5::double, 6) as "RELATIVE_POLYA_RNAS", round(cod5::double / cod::double, 6) as "CODING_5END_RATE",
+  round(cod5::double / spike5::double, 6) as "RELATIVE_MRNAS"
 from b left join t using (base) left join w using (base) left join v using (base)"""
 
 
