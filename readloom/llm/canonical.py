@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -64,11 +65,16 @@ def token_set(value: str, n: int = 2) -> frozenset[str]:
 
 def longest_mentions(mentions: list[tuple[int, int, object]]) -> list[tuple[int, int, object]]:
     """Longest non-overlapping mentions (start, end, entry); the leftmost of equally long ones."""
+    starts: list[int] = []
     taken: list[tuple[int, int, object]] = []
     for m in sorted(mentions, key=lambda m: (m[0] - m[1], m[0])):
-        if all(m[1] <= t[0] or m[0] >= t[1] for t in taken):
-            taken.append(m)
-    return sorted(taken, key=lambda m: m[0])
+        i = bisect_left(starts, m[0])
+        free_before = i == 0 or taken[i - 1][1] <= m[0]
+        free_after = i == len(starts) or m[1] <= starts[i]
+        if free_before and free_after:
+            starts.insert(i, m[0])
+            taken.insert(i, m)
+    return taken
 
 
 @dataclass

@@ -77,6 +77,8 @@ def test_nearest_name_equals_brute_force(most):
 
 
 def test_longest_mentions():
+    many = [(i, i + 2, "x") for i in range(0, 200_000)]
+    assert len(K.longest_mentions(many)) == 100_000
     assert K.longest_mentions([(0, 2, "a"), (1, 5, "b"), (4, 6, "c"), (6, 8, "d")]) == [(1, 5, "b"), (6, 8, "d")]
 
 
@@ -105,9 +107,9 @@ def mapped(spark, df, **kw):
 
 @pytest.mark.parametrize("block", [1, 100])
 def test_entries(spark, block):
-    rows = [("bc", "cat-ccg"), ("bc", "catcg"), ("bc", "catccgtt"), ("bc", None), ("bc", ""), ("bc", "?!"), ("well", "1a"), ("zz", "A1"), (None, "A1"), ("bc", "GGTTAA"), ("bc", "a" * 100_000)]
+    rows = [("bc", "cat-ccg"), ("bc", "catcg"), ("bc", "catccgtt"), ("bc", None), ("bc", ""), ("bc", "?!"), ("well", "1a"), ("zz", "A1"), (None, "A1"), ("bc", "GGTTAA"), ("bc", "a" * 100_000), ("well", "a1" * 100_000)]
     got = mapped(spark, entries(spark, *rows), block_entries=block)
-    assert [got[i] for i in range(len(rows))] == ["CATCCG", "CATCCG", "NA", "NA", "NA", "NA", "A1", "NA", "NA", "GGTTAA", "NA"]
+    assert [got[i] for i in range(len(rows))] == ["CATCCG", "CATCCG", "NA", "NA", "NA", "NA", "A1", "NA", "NA", "GGTTAA", "NA", "NA"]
 
 
 def test_entries_without_rows(spark):
