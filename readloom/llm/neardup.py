@@ -184,7 +184,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, size: int, rows: int, mis
     bands = bands_for(threshold, rows, miss)
     keyed = checkpointed(reps.select("rep", "text").mapInArrow(_signer(size, bands, rows), "rep bigint, key bigint"))
     sized = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sized, "key")
+    shared = keyed.join(sized.hint("shuffle_hash"), "key")  # few keys are shared: no sort of the many
     # Bucket of n records: ceil(n / BLOCK) blocks; block i meets blocks i.. through replicated rows, never all in one task.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
