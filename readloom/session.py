@@ -66,3 +66,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """A scan or checkpoint of few partitions dealt out for work that is heavy on CPU; larger ones stay as they are.
+
+    Only for plans without a shuffle of their own, whose partitions can be counted without running anything.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
