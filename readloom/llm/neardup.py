@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import checkpointed
+from readloom.session import checkpointed, spread
 
 SHINGLE = 12
 ROWS = 3
@@ -182,7 +182,7 @@ def copies(df: DataFrame, record_id: str, text: str, size: int = SHINGLE) -> Dat
 def candidate_pairs(reps: DataFrame, threshold: float, size: int, rows: int, miss: float) -> DataFrame:
     """Distinct pairs (a < b) of representatives sharing a band; buckets of any size are compared in blocks."""
     bands = bands_for(threshold, rows, miss)
-    keyed = checkpointed(reps.select("rep", "text").mapInArrow(_signer(size, bands, rows), "rep bigint, key bigint"))
+    keyed = checkpointed(spread(reps.select("rep", "text")).mapInArrow(_signer(size, bands, rows), "rep bigint, key bigint"))
     sized = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sized.hint("shuffle_hash"), "key")  # few keys are shared: no sort of the many
     # Bucket of n records: ceil(n / BLOCK) blocks; block i meets blocks i.. through replicated rows, never all in one task.
