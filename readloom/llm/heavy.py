@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 MESSAGE = 6  # symbols of four bits
 CHECKS = 3
 LENGTH = MESSAGE + CHECKS
+#: Counters that a task keeps in one table; with more, each batch of rows sends its own.
+DENSE = 1 << 22
 
 
 def _gf16() -> tuple[np.ndarray, np.ndarray]:
@@ -133,19 +135,23 @@ def _group(h: Column, groups: int) -> Column:
 def _counters(groups: int):
     size = groups * LENGTH * 16
 
+    def emit(cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size if size <= DENSE else 0, np.int64)
         base = np.arange(LENGTH, dtype=np.int64) * 16
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = encode(h & ((1 << (4 * MESSAGE)) - 1))
             group = (h >> (4 * MESSAGE)) & (groups - 1)
-            cells = (group * (LENGTH * 16))[:, None] + base[None, :] + words
-            counts += np.bincount(cells.ravel(), minlength=size)
+            cells = ((group * (LENGTH * 16))[:, None] + base[None, :] + words).ravel()
+            if size > DENSE:
+                yield emit(*np.unique(cells, return_counts=True))
+            else:
+                counts += np.bincount(cells, minlength=size)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["cell", "n"]
-        )
+        yield emit(used, counts[used])
 
     return run
 
@@ -153,7 +159,7 @@ def _counters(groups: int):
 def symbol_counts(df: DataFrame, column: str, share: float | str) -> DataFrame:
     """The counters that are not zero: cell, n.  Eight bytes per row reach Python, one table per task leaves it."""
     hashed = df.where(F.col(f"`{column}`").isNotNull()).select(F.xxhash64(F.col(f"`{column}`")).alias("h"))
-    counters = hashed.mapInArrow(_counters(groups_for(share)), "cell int, n bigint")
+    counters = hashed.mapInArrow(_counters(groups_for(share)), "cell bigint, n bigint")
     return counters.groupBy("cell").agg(F.sum("n").alias("n"))
 
 

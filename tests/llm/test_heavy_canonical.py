@@ -42,6 +42,13 @@ def test_frequent_values_are_complete(spark, share):
     assert all(r.approx_rows >= r.exact_rows for r in rows)
 
 
+def test_frequent_values_with_more_counters_than_a_task_keeps(spark, monkeypatch):
+    monkeypatch.setattr(H, "DENSE", 100)
+    df = spark.createDataFrame([(str(i % 7 if i % 2 else i),) for i in range(3000)], "seq string").repartition(3)
+    count = Counter(r.seq for r in df.collect())
+    assert {(r.seq, r.exact_rows) for r in H.frequent_values(df, "seq", 0.01).collect()} == {(v, n) for v, n in count.items() if n >= 30}
+
+
 def test_frequent_edges(spark):
     df = spark.createDataFrame([("a" * 300_000,)] * 3 + [(None,)] * 2, "seq string")
     assert [(len(r.seq), r.exact_rows) for r in H.frequent_values(df, "seq", 0.5).collect()] == [(300_000, 3)]
