@@ -9,6 +9,19 @@ joint as (select a.c as a, b.c as b, count(*) as common from k a join k b on a.m
 pairs as (select a, b from joint join n x on x.c = a join n y on y.c = b where common >= 0.5 * (x.n + y.n - common))
 """
 
+_GROUPS = (
+    _PAIRS.replace("with k as", "with recursive k as", 1).rstrip()
+    + """,
+t as (select contig_id as c, upper(seq) as s from contigs where length(seq) >= 12),
+e as (select a as x, b as y from pairs union all select b, a from pairs),
+reach(c, r) as (select c, c from t union select e.y, reach.r from reach join e on e.x = reach.c),
+root as (select c, min(r) as g from reach group by c),
+near as (select e.x as c, count(distinct v.s) as links from e join t u on u.c = e.x join t v on v.c = e.y where u.s <> v.s group by e.x),
+same as (select s, count(*) as copies from t group by s)
+select t.c as contig_id, g as group_id, coalesce(links, 0) as links, copies from t join root using (c) left join near using (c) join same using (s)
+"""
+)
+
 _TYPED = r"""
 with e as (
   select entry_id, field, lower(translate(coalesce(typed, ''),
@@ -48,6 +61,7 @@ _FREQUENT = "from reads where seq is not null group by seq having count(*) * 500
 
 SQL = {
     "p1_found": _PAIRS + "select a as contig_a, b as contig_b from pairs",
+    "p1_groups": _GROUPS,
     "p5_found": f"select seq {_FREQUENT}",
     "p5_counts": f"select seq, count(*) as exact_rows {_FREQUENT}",
     "p6_found": _TYPED + "select v.entry_id, coalesce(h.canonical, 'NA') as canonical from v left join hit h using (entry_id)",
