@@ -14,7 +14,7 @@ from readloom.operators import transcriptome as T
 from readloom.operators.demux import barcode_map, demultiplex
 from readloom.operators.search import find_fragments
 from readloom.plans.pipelines import depth_curve, prepare_reads, reference_sequences
-from readloom.session import table
+from readloom.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -414,6 +414,18 @@ def gap(spark, d):
     return I.gap_distances(regions(spark, d), bed(spark, d), -20, 20)
 
 
+@query(f"""with {_BED}, {_REGIONS},
+t as (select b.name as name1, a.end_pos - b.start_pos + 1 as dist from regions b join bed a on a.chrom = b.chrom
+    and a.end_pos >= b.start_pos - 10001 and a.end_pos < b.start_pos + 2499 where b.strand = '+'
+  union all
+  select b.name, b.end_pos - a.start_pos + 1 from regions b join bed a on a.chrom = b.chrom
+    and a.start_pos > b.end_pos - 2499 and a.start_pos <= b.end_pos + 10001 where b.strand <> '+')
+select name1, dist, count(*) as pairs from t group by name1, dist""")
+def gap_spread(spark, d):
+    """Every pair of the default window -10000..2500, counted per name and distance; ``gap`` lists only those within 20."""
+    return I.gap_distances(regions(spark, d), spread(bed(spark, d))).groupBy("name1", "dist").agg(F.count("*").alias("pairs"))
+
+
 @query("""with e as (select distinct nullif(regexp_extract(attrs, 'gene_name "([^"]+)"', 1), '') as name, chrom, strand, left_pos - 1 as s, right_pos as e
   from annotations where feature = 'exon' and left_pos <= right_pos),
 r as (select *, max(e) over (partition by name, chrom, strand order by s, e rows between unbounded preceding and 1 preceding) as reach from e),

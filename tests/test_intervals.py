@@ -9,6 +9,7 @@ from readloom.operators import intervals as I
 from readloom.operators import transcriptome as T
 from readloom.operators.demux import barcode_map, demultiplex
 from readloom.operators.search import find_fragments
+from readloom.plans import read_queries
 
 BED = "chrom string, start_pos bigint, end_pos bigint, name string, score bigint, strand string"
 
@@ -139,3 +140,19 @@ def test_count_tables(spark):
     counts = bed(spark, [("c", 5, 6, "x", 4, "+"), ("c", 23, 24, "x", 2, "+"), ("c", 23, 24, "x", 9, "-")]).withColumn("base", F.lit("b"))
     got = {r.ID: (r.R, r.N, r.note) for r in C.quantify(counts, regions, spark.createDataFrame([("g", "n")], "ID string, note string")).collect()}
     assert got == {"RNA_SPIKE_1": (4, 1000.0, "NA"), "g": (4, 1000.0, "n")}
+
+
+def test_gap_spread_has_the_whole_default_window(spark, tmp_path):
+    parts = spark.createDataFrame([(5000, 1, "x"), (5001, 1, "y")], "p_partkey int, p_size int, p_brand string")  # chr1 +, chr2 -
+    rows = [(k, n, s) for k in (3000, 4900, 5000, 5100, 5300, 6100) for n in (1, 2) for s in (0, 1)]
+    items = spark.createDataFrame(rows, "l_partkey int, l_linenumber int, l_suppkey int")
+    items.selectExpr("*", "1L as l_orderkey", "5.0 as l_quantity", "'O' as l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    expected = {}
+    for k, n, s in rows:
+        name, dist = ("x", k * 10 + n + 5 - 50_000 + 1) if s == 0 else ("y", 50_010 + 20 - (k * 10 + n) + 1)
+        if -10_000 <= dist < 2_500:
+            expected[name, dist] = expected.get((name, dist), 0) + 1
+    assert min(expected)[1] < -20 and max(expected)[1] >= 20
+    got = {(r.name1, r.dist): r.pairs for r in read_queries.gap_spread(spark, str(tmp_path)).collect()}
+    assert got == expected
