@@ -481,6 +481,31 @@ def count_matrix(spark, d):
     return C.wide(long, "ID", "base", "COUNT", _MATRIX_BASES, "R")
 
 
+#: Libraries that may become columns.
+_MOST_LIBRARIES = 5_000
+
+
+def libraries(spark: SparkSession, d: str) -> list[str]:
+    """Distinct libraries of the design, in order."""
+    names = table(spark, d, "samples").where("base is not null").select("base").distinct().limit(_MOST_LIBRARIES + 1)
+    found = sorted(r.base for r in names.collect())
+    if len(found) > _MOST_LIBRARIES:
+        raise ValueError(f"more than {_MOST_LIBRARIES} libraries")
+    return found
+
+
+@query(_QUANT + """, design as (select distinct base from samples where base is not null),
+d as (select t.* from t join design using (base)),
+cells as (select i.id as "ID", 'R|' || design.base as cell, cast(coalesce(d.r, 0) as bigint) as r
+  from (select distinct id from d) i cross join design left join d on d.id = i.id and d.base = design.base)
+pivot cells on cell using first(r) group by "ID\"""")
+def count_matrix_design(spark, d):
+    """Wide form with a column for every library of the design; ``count_matrix`` has three of them."""
+    bases = libraries(spark, d)
+    long = C.count_per_region(hits(spark, d).where(F.col("base").isin(bases)), hit_regions(spark, d), ["base"])
+    return C.wide(long, "ID", "base", "COUNT", bases, "R")
+
+
 _Q_REGIONS = f"""with {_HIT_REGIONS},
 q as (select 'ribosome' as k, chrom, strand, start_pos, end_pos from hit_regions where starts_with(name, 'RIBO_')
   union all select 'spikein_whole', chrom, strand, start_pos, end_pos from hit_regions where starts_with(name, 'RNA_SPIKE_')

@@ -156,3 +156,14 @@ def test_gap_spread_has_the_whole_default_window(spark, tmp_path):
     assert min(expected)[1] < -20 and max(expected)[1] >= 20
     got = {(r.name1, r.dist): r.pairs for r in read_queries.gap_spread(spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_matrix_has_every_library_of_the_design(spark, tmp_path):
+    rows = [(i, base, "g", "c", 5, 6, score, "+") for i, (base, score) in enumerate([("own-1", 3), ("own-2", 4), ("own-2", 5), ("other", 7)])]
+    hits = spark.createDataFrame(rows, "hit_id bigint, base string, id string, chrom string, start_pos bigint, end_pos bigint, score bigint, strand string")
+    hits.write.parquet(f"{tmp_path}/region_hits.parquet")
+    design = spark.createDataFrame([("own-2",), ("own-1",), ("own-1",), ("empty",), (None,)], "base string")
+    design.write.parquet(f"{tmp_path}/samples.parquet")
+    got = read_queries.count_matrix_design(spark, str(tmp_path))
+    assert got.columns == ["ID", "R|empty", "R|own-1", "R|own-2"]
+    assert [tuple(r) for r in got.collect()] == [("g", 0, 3, 9)]
