@@ -3,9 +3,10 @@
 Sizes are tokens of a public tokenizer.  Items are spread over blocks of
 bounded size by hash, and each block is solved on its own by branch and bound:
 the largest open item starts a container, the undominated fillings of the
-space around it are enumerated (best first), and a branch is cut when its
-waste exceeds what the number of containers aimed at allows.  Best-fit
-decreasing gives the first incumbent.  The search for one container fewer goes
+space around it are enumerated (fullest first, of any number of items, from a
+table of the sums within reach), and a branch is cut when its waste exceeds
+what the number of containers aimed at allows.  Every filling looked at counts
+as a node.  Best-fit decreasing gives the first incumbent.  The search for one container fewer goes
 on until the lower bound is met or the node budget is spent; a block of many
 small items usually meets the bound at the first descent.
 """
@@ -132,49 +133,63 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def completions(stock: _Stock, room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, the fullest first; each is maximal in the stock."""
-    best = stock.below(room)
-    if not best:
-        return [()]
-    if best == room:
-        return [(best,)]  # an item that fits exactly dominates every other filling
-    found: set[tuple[int, ...]] = set()
+def _fillings(stock: _Stock, room: int, least: int) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """All fillings of ``room`` with at least ``least`` units, the fullest first, and whether each is undominated.
 
-    def close(first: list[int]) -> None:
-        """Fill what is left by best fit."""
-        for s in first:
-            stock.take(s)
-        rest, items = room - sum(first), list(first)
-        while s := stock.below(rest):
-            items.append(s)
-            stock.take(s)
-            rest -= s
-        for s in items:
-            stock.put(s)
-        found.add(tuple(sorted(items, reverse=True)))
-
-    close([best])
-    kinds = stock.kinds
-    for i in range(bisect_left(kinds, room + 1) - 1, -1, -1):
-        a = kinds[i]
-        if a * 2 < room and len(found) > most:
-            break
-        b = stock.below(min(a, room - a))
-        if b == a and stock.count[a] < 2:
-            b = stock.below(a - 1) if a > 1 else 0
-        if b:
-            close([a, b])
-            if a + b == room:
-                break
-    ordered = sorted(found, key=lambda f: (-sum(f), len(f), f))[: 4 * most]
-    kept: list[tuple[int, ...]] = []
-    for f in ordered:
-        if not any(_dominates(k, f) for k in kept):
-            kept.append(f)
-        if len(kept) == most:
-            break
-    return kept
+    Of equally full ones those with larger items come first, so none is dominated by a later one and the first by
+    none.  ``reach[i]``: bit t is set if items of the first i kinds can add up to t; branches without a filling are
+    never entered.  The stock is read once, at the first filling.
+    """
+    kinds = stock.kinds[: bisect_left(stock.kinds, room + 1)]
+    if not kinds:
+        yield (), True
+        return
+    if kinds[-1] == room:  # an item that fits exactly dominates every other filling
+        yield (room,), True
+        return
+    have = [stock.count[s] for s in kinds]
+    mask = (2 << room) - 1
+    reach = [1]
+    for s, n in zip(kinds, have):
+        bits, step, n = reach[-1], 1, min(n, room // s)
+        while n:
+            k = min(step, n)
+            bits |= bits << k * s & mask
+            n -= k
+            step *= 2
+        reach.append(bits)
+    for total in range(room, max(least, 1) - 1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        branches: list[tuple[int, int, tuple[int, ...]]] = [(len(kinds), total, ())]  # kinds and units left, items
+        while branches:
+            i, rest, items = branches.pop()
+            while rest:
+                i = bisect_left(kinds, rest + 1, 0, i) - 1
+                s, before = kinds[i], reach[i]
+                ways = [k for k in range(min(have[i], rest // s) + 1) if before >> (rest - k * s) & 1]
+                branches += [(i, rest - k * s, items + (s,) * k) for k in ways[:-1]]
+                items, rest = items + (s,) * ways[-1], rest - ways[-1] * s
+            yield items, _undominated(items, room - total, kinds, have)
+
+
+def _undominated(items: tuple[int, ...], gap: int, kinds: list[int], have: list[int]) -> bool:
+    """Whether no open item, put in place of some of the items or of none, holds their share within the room."""
+    sums, single, several = 1, 0, 0  # totals of any items, of one and of at least two
+    held: dict[int, int] = {}
+    for s in items:
+        several |= (several | single) << s
+        single |= 1 << s
+        sums |= sums << s
+        held[s] = held.get(s, 0) + 1
+    for d in range(1, gap + 1):
+        several |= sums << d
+    return not any(several >> s & 1 and n > held.get(s, 0) for s, n in zip(kinds, have))
+
+
+def completions(stock: _Stock, room: int, least: int = 0) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with at least ``least`` units, the fullest first; each is maximal in the stock."""
+    return [items for items, keep in _fillings(stock, room, least) if keep]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -212,48 +227,69 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
 def _search(sizes: list[int], capacity: int, aim: int, total: int, nodes: int) -> tuple[list[list[int]] | None, int]:
     stock = _Stock(sizes, capacity)
     waste = aim * capacity - total  # unused space that ``aim`` containers may have in all
-    stack: list[tuple[list[tuple[int, ...]], int]] = []
+    stack: list[_Level] = []
     done: list[list[int]] = []
     used = 0
-
-    def open_container() -> None:
-        largest = stock.kinds[-1]
-        stock.take(largest)
-        options = completions(stock, capacity - largest)
-        stock.put(largest)
-        stack.append(([(largest, *o) for o in reversed(options)], 0))
-
-    open_container()
+    stack.append(_Level(stock.kinds[-1]))
     while stack:
-        options, _ = stack[-1]
+        level = stack[-1]
         if len(done) == len(stack):  # back here: undo this level's choice
             for s in done.pop():
                 stock.put(s)
-                waste += 0
-            waste += stack[-1][1]
-            stack[-1] = (options, 0)
-        if not options or used >= nodes:
-            if used >= nodes:
-                return None, used
+            waste += level.gap
+        if used >= nodes:
+            return None, used
+        option = level.next(stock, capacity, waste)
+        if option is None:
             stack.pop()
             continue
-        choice = options.pop()
-        gap = capacity - sum(choice)
-        if gap > waste:  # options are ordered by fullness: the rest wastes more still
-            options.clear()
-            continue
         used += 1
+        items, keep = option
+        gap = capacity - level.largest - sum(items)
+        if not keep or gap > waste:
+            continue
+        choice = [level.largest, *items]
         for s in choice:
             stock.take(s)
-        done.append(list(choice))
+        done.append(choice)
         waste -= gap
-        stack[-1] = (options, gap)
+        level.gap = gap
         if not stock.left:
             return done, used
-        open_container()
+        stack.append(_Level(stock.kinds[-1]))
     return None, used
 
 
+class _Level:
+    """A container of the search: the largest open item and the fillings around it.
+
+    Most levels are never returned to, so the enumeration is dropped after its first filling and begun again, on the
+    same stock, when the search comes back.
+    """
+
+    def __init__(self, largest: int) -> None:
+        self.largest = largest
+        self.gap = 0
+        self.tried = 0
+        self.options: Iterator[tuple[tuple[int, ...], bool]] | None = None
+
+    def next(self, stock: _Stock, capacity: int, waste: int) -> tuple[tuple[int, ...], bool] | None:
+        room = capacity - self.largest
+        again = self.options is None
+        if again:
+            stock.take(self.largest)
+            self.options = _fillings(stock, room, room - waste)
+            for _ in range(self.tried):
+                next(self.options)
+        option = next(self.options, None)
+        if again:
+            stock.put(self.largest)
+        self.tried += 1
+        if self.tried == 1:
+            self.options = None
+        return option
+
+
 def _tokenize(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = load_tokenizer(path)

@@ -86,3 +86,31 @@ def test_packed_table(spark):
         fill = {r.container_id: (r.used, r.unused) for r in P.container_fill(P.pack_texts(df, block_items=block)).collect()}
         assert fill == {c: (u, 512 - u) for c, u in used.items()}
     assert P.pack_texts(df.limit(0)).count() == 0
+
+
+def test_fillings_of_any_number_of_items():
+    stock = P._Stock([*range(62, 70), 48, 27, 25], 200)
+    assert P.completions(stock, 100)[0] == (48, 27, 25)
+
+
+def dealt(rooms, items):
+    """Whether the items fit into the rooms, by trying everything."""
+    if not items:
+        return True
+    return any(r >= items[0] and dealt(rooms[:i] + (r - items[0],) + rooms[i + 1 :], items[1:]) for i, r in enumerate(rooms))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_all_that_nothing_dominates(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(2, 30) for _ in range(rng.randint(1, 9))]
+    room = rng.randint(5, 45)
+    every = {tuple(sorted((s for i, s in enumerate(sizes) if m >> i & 1), reverse=True)) for m in range(1 << len(sizes))}
+    every = {f for f in every if sum(f) <= room}
+    best = {f for f in every if not any(g != f and dealt(g, f) for g in every)}
+    got = P.completions(P._Stock(sizes, 50), room)
+    assert len(got) == len(set(got)) and set(got) == best
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+    least = room - 2
+    full = {f for f in best if sum(f) >= least}
+    assert set(P.completions(P._Stock(sizes, 50), room, least)) - {()} == full - {()}
