@@ -5,9 +5,10 @@ and pieces of them.  A value is normalised (full-width forms, case, spacing,
 punctuation) and scanned once; embedded mentions are reduced to the longest
 non-overlapping ones.  A mention that covers the value decides it.  Otherwise
 the entries whose pieces were seen are candidates: a name within k edits of a
-value keeps at least one of its k + 1 pieces intact, so none is missed.
-Values without a mention are compared by the similarity of their token sets.
-The chosen entry must then pass an exact check by edit distance.
+value keeps at least one of its k + 1 pieces intact, so none is missed, and a
+value without any such piece fits nothing.  The similarity of token sets ranks
+the candidates and drops those that differ in too many tokens; the rest must
+pass an exact check by edit distance.
 """
 
 from __future__ import annotations
@@ -114,12 +115,13 @@ class NameList:
             if start == 0 and end == len(v):
                 return 0, entry
         candidates = {i for _, (_, _, owners) in seen for i in owners} | set(self.short)
-        if not candidates:  # no mention at all: nearest token sets, then the exact check below
-            own = token_set(v)
-            ranked = sorted(range(len(self.keys)), key=lambda i: (-len(own & self.tokens[i]) / len(own | self.tokens[i]), i))
-            candidates = set(ranked[:3])
-        found = min(((edits(v, self.keys[i], self.most), i) for i in candidates), default=None)
-        return found if found and found[0] <= self.most else None
+        own, found = token_set(v), (self.most + 1, -1)  # sorts before any entry beyond the bound
+        ranked = sorted(candidates, key=lambda i: (-len(own & self.tokens[i]) / len(own | self.tokens[i]), i))
+        for i in ranked:  # the most similar token sets first: a close entry leaves few edits to the others
+            bound = min(found[0], self.most)
+            if len(self.tokens[i] - own) <= 2 * bound:  # an edit changes at most two tokens of a name
+                found = min(found, (edits(v, self.keys[i], bound), i))
+        return found if found[1] >= 0 else None
 
 
 _WELL = re.compile(r"([A-Za-z]+)0*([0-9]+)\Z")

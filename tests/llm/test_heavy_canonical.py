@@ -83,6 +83,13 @@ def test_nearest_name_equals_brute_force(most):
         assert table.best(v) == (best if best[0] <= most else None), v
 
 
+def test_token_sets_rank_the_candidates(monkeypatch):
+    checked, exact = [], K.edits
+    monkeypatch.setattr(K, "edits", lambda a, b, most: checked.append(b) or exact(a, b, most))
+    table = K.NameList(["abcdpqrs", "abcdtuvw", "abcdefgh"], 1)
+    assert table.best("abcdefgx") == (1, 2) and checked == ["abcdefgh"]
+
+
 def test_longest_mentions():
     many = [(i, i + 2, "x") for i in range(0, 200_000)]
     assert len(K.longest_mentions(many)) == 100_000
