@@ -12,11 +12,15 @@ window of ranks, so each signature is complete.
 Records whose signatures agree on all rows of a band are candidates; every
 candidate pair is verified exactly.  Exact copies are collapsed first, so a
 group of copies costs one signature and no pairs among itself.
+
+Elements are the distinct substrings of a text, of weight 1 or, if the caller
+asks for it, of a weight equal to how often the text holds them.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,10 @@ ROWS = 3
 MISS = 1e-5
 #: A bucket of more records is cut into blocks of this size; all block pairs are still compared.
 BLOCK = 256
+#: Exact copies of one text are dealt out in shares of about this many records before they meet anything by key.
+SHARE = 4096
+#: Texts with more than one share of copies are at most this many; they are the only ones sent to all tasks.
+HOT_TEXTS = 10_000
 SEED = 0x9E3779B97F4A7C15
 
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
@@ -53,14 +61,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct substrings of ``size`` characters of each text, and the text each is from."""
+def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct substrings of ``size`` characters of each text, the text each is from, and how often it is there."""
     data = "".join(texts).encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(data, np.uint32).astype(np.uint64)
     lengths = np.array([len(t) for t in texts], np.int64)
     n = len(codes) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.full(n, np.uint64(SEED))
     for i in range(size):
         h = (h ^ codes[i : i + n]) * np.uint64(0x100000001B3)
@@ -72,7 +80,8 @@ def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], owner[new]
+    first = np.flatnonzero(new)
+    return h[first], owner[first], np.diff(np.append(first, len(h)))
 
 
 def dart_signatures(
@@ -138,7 +147,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(SEED))
 
 
-def _signer(size: int, bands: int, rows: int):
+def _signer(size: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -149,8 +158,9 @@ def _signer(size: int, bands: int, rows: int):
                 while end < len(texts) and (end == at or letters < 20_000):
                     letters += len(texts[end])
                     end += 1
-                elements, owner = shingle_hashes(texts[at:end], size)
-                signatures, filled = dart_signatures(elements, np.ones(len(elements)), owner, end - at, bands * rows)
+                elements, owner, often = shingle_hashes(texts[at:end], size)
+                weights = often.astype(np.float64) if weighted else np.ones(len(elements))
+                signatures, filled = dart_signatures(elements, weights, owner, end - at, bands * rows)
                 keys = band_keys(signatures[filled], bands, rows)
                 rows_of = np.flatnonzero(filled) + at
                 if len(rows_of):
@@ -166,53 +176,98 @@ def _signer(size: int, bands: int, rows: int):
     return run
 
 
-def _shingles(text: Column, size: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: text.substr(i, F.lit(size))))
+def _bag(text: str, size: int, weighted: bool) -> Counter | frozenset:
+    parts = (text[i : i + size] for i in range(len(text) - size + 1))
+    return Counter(parts) if weighted else frozenset(parts)
 
 
-def copies(df: DataFrame, record_id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """record_id, rep, text: every record long enough to compare, with the least id among its exact copies."""
+def _verifier(threshold: float, size: int, weighted: bool):
+    """Links among rows (a, na, b, nb, ta, tb); rows of one b come together, so its bag is made once."""
+    names = ["a", "na", "b", "nb", "similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, whole = None, None, 0
+        for batch in batches:
+            kept, found = [], []
+            for i, (b, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb")))):
+                if b != last:
+                    last, own = b, _bag(tb, size, weighted)
+                    whole = len(tb) - size + 1 if weighted else len(own)
+                other = _bag(ta, size, weighted)
+                if weighted:
+                    both = whole + len(ta) - size + 1
+                    common = sum(min(n, own[x]) for x, n in other.items() if x in own)
+                else:
+                    both, common = whole + len(other), len(own & other)
+                if common >= threshold * (both - common):
+                    kept.append(i)
+                    found.append(common / (both - common))
+            picked = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(picked.column(c) for c in names[:4]), pa.array(found, pa.float64())], names=names)
+
+    return run
+
+
+def _records(df: DataFrame, record_id: str, text: str, size: int) -> DataFrame:
+    """id, text, digest of every record long enough to compare; the 128-bit digest stands for the text where keys are enough."""
     records = df.select(F.col(f"`{record_id}`").cast("bigint").alias("id"), F.upper(f"`{text}`").alias("text"))
-    records = records.where(F.length("text") >= size)
-    return records.withColumn("hash", F.xxhash64("text")).groupBy("hash", "text").agg(
-        F.min("id").alias("rep"), F.count("*").alias("members")
-    )
+    return records.where(F.length("text") >= size).withColumn("digest", F.unhex(F.md5("text")))
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, size: int, rows: int, miss: float) -> DataFrame:
-    """Distinct pairs (a < b) of representatives sharing a band; buckets of any size are compared in blocks."""
-    bands = bands_for(threshold, rows, miss)
-    keyed = checkpointed(spread(reps.select("rep", "text")).mapInArrow(_signer(size, bands, rows), "rep bigint, key bigint"))
-    sized = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sized.hint("shuffle_hash"), "key")  # few keys are shared: no sort of the many
-    # Bucket of n records: ceil(n / BLOCK) blocks; block i meets blocks i.. through replicated rows, never all in one task.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+def copies(df: DataFrame, record_id: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """digest, text, rep, members: each different text once, with the least id and the number of its exact copies."""
+    records = _records(df, record_id, text, size)
+    return records.groupBy("digest", "text").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+
+
+def _shares(members: Column) -> Column:
+    return F.ceil(members / SHARE).cast("int")
+
+
+def _share_of(record: str, members: Column) -> Column:
+    """The share of its text's copies that a record belongs to."""
+    return F.pmod(F.xxhash64(F.lit("share"), record), _shares(members)).cast("int")
+
+
+def _all_shares(members: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), _shares(members) - 1))
+
+
+def block_pairs(member: DataFrame) -> DataFrame:
+    """p, q: all pairs of different members of a bucket; ``member`` is key, rep, n with n rows per key.
+
+    A bucket of n members has ceil(n / BLOCK) blocks; block i meets blocks i.. through replicated rows, so no task
+    holds a bucket.
+    """
+    member = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     left = member.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
     left = left.select("key", F.col("block").alias("x"), F.col("to").alias("y"), F.col("rep").alias("p"))
     right = member.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("block"))))
     right = right.select("key", F.col("from").alias("x"), F.col("block").alias("y"), F.col("rep").alias("q"))
     met = left.join(right, ["key", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q")))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+
+
+def candidate_pairs(reps: DataFrame, threshold: float, size: int, rows: int, miss: float, weighted: bool = False) -> DataFrame:
+    """Distinct pairs (a < b) of representatives sharing a band; buckets of any size are compared in blocks."""
+    bands = bands_for(threshold, rows, miss)
+    keyed = spread(reps.select("rep", "text")).mapInArrow(_signer(size, bands, rows, weighted), "rep bigint, key bigint")
+    keyed = keyed.repartition("key")  # dealt out by key once, for the count and for the join
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(keyed.join(sized.hint("shuffle_hash"), "key"))  # few keys are shared: no sort of the many
+    return block_pairs(shared).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
 def similar_representatives(
-    reps: DataFrame, threshold: float, size: int = SHINGLE, rows: int = ROWS, miss: float = MISS
+    reps: DataFrame, threshold: float, size: int = SHINGLE, rows: int = ROWS, miss: float = MISS, weighted: bool = False
 ) -> DataFrame:
-    """a < b, similarity: verified links between different texts."""
-    pairs = candidate_pairs(reps, threshold, size, rows, miss)
-    texts = reps.select("rep", "text")
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    sets = both.select("a", "b", _shingles(F.col("ta"), size).alias("sa"), _shingles(F.col("tb"), size).alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (
-        sets.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
-        .withColumn("similarity", F.col("common") / (F.col("both") - F.col("common")))
-        .where(F.col("similarity") >= threshold)
-        .select("a", "b", "similarity")
-    )
+    """a < b, their numbers of copies na and nb, similarity: verified links between different texts."""
+    pairs = candidate_pairs(reps, threshold, size, rows, miss, weighted)
+    one = reps.select(F.col("rep").alias("a"), F.col("members").alias("na"), F.col("text").alias("ta"))
+    other = reps.select(F.col("rep").alias("b"), F.col("members").alias("nb"), F.col("text").alias("tb"))
+    both = pairs.join(one, "a").join(other, "b")
+    return both.mapInArrow(_verifier(threshold, size, weighted), "a bigint, na bigint, b bigint, nb bigint, similarity double")
 
 
 def similar_pairs(
@@ -224,42 +279,49 @@ def similar_pairs(
     size: int = SHINGLE,
     rows: int = ROWS,
     miss: float = MISS,
+    weighted: bool = False,
 ) -> DataFrame:
     """All pairs of records, exact copies included: left_id < right_id, similarity.
 
     The similarity is the number of distinct substrings of ``size`` letters
-    that two upper-cased texts share, divided by those in either.
+    that two upper-cased texts share, divided by those in either; ``weighted``:
+    each substring counts as often as it occurs (least by greatest number).
 
     Defined results: null texts, and texts shorter than ``size``, have no such
     substring and are in no pair; copies that differ in case are at 1.0;
-    repeated ids count once; an empty table gives an empty result.  Pairs
-    between copies are expanded only here; groups need no such expansion.
+    repeated rows count once; an id with several texts stands for each of
+    them; an empty table gives an empty result.  Pairs between copies are expanded only here; groups need no such expansion.
     """
     reps, members = _with_members(df, record_id, text, size)
-    links = similar_representatives(reps, threshold, size, rows, miss)
-    m = members.select(F.col("rep"), F.col("id"))
+    links = similar_representatives(reps, threshold, size, rows, miss, weighted)
+    m = members.withColumn("share", _share_of("id", F.col("members")))
     across = (
-        links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a")
-        .join(m.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
+        links.withColumn("share", _all_shares(F.col("na")))
+        .join(m.select(F.col("rep").alias("a"), "share", F.col("id").alias("ia")), ["a", "share"])
+        .withColumn("share", _all_shares(F.col("nb")))
+        .join(m.select(F.col("rep").alias("b"), "share", F.col("id").alias("ib")), ["b", "share"])
+        .where("ia <> ib")
         .select(F.least("ia", "ib").alias("left_id"), F.greatest("ia", "ib").alias("right_id"), "similarity")
     )
-    twins = members.where("members > 1").select("rep", "id")
-    within = (
-        twins.select("rep", F.col("id").alias("left_id"))
-        .join(twins.select("rep", F.col("id").alias("right_id")), "rep")
-        .where("left_id < right_id")
-        .select("left_id", "right_id", F.lit(1.0).alias("similarity"))
-    )
+    twins = members.where("members > 1").select(F.col("rep").alias("key"), F.col("id").alias("rep"), F.col("members").alias("n"))
+    within = block_pairs(twins).select(F.col("p").alias("left_id"), F.col("q").alias("right_id"), F.lit(1.0).alias("similarity"))
     return across.unionByName(within)
 
 
 def _with_members(df: DataFrame, record_id: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Representatives (rep, text) and membership (rep, id, members)."""
+    """Representatives (digest, text, rep, members) and membership (rep, id, members).
+
+    Texts with a share of copies or more, at most HOT_TEXTS of them, are known to all tasks, so that their copies meet
+    the representative in shares.
+    """
     reps = checkpointed(copies(df, record_id, text, size))
-    ids = df.select(F.col(f"`{record_id}`").cast("bigint").alias("id"), F.upper(f"`{text}`").alias("text"))
-    ids = ids.where(F.length("text") >= size).withColumn("hash", F.xxhash64("text")).distinct()
-    members = ids.join(reps.select("hash", "text", "rep", "members"), ["hash", "text"]).select("rep", "id", "members")
-    return reps, members
+    records = reps.agg(F.sum("members")).first()[0] or 0
+    hot = reps.where(F.col("members") > max(SHARE, records // HOT_TEXTS)).select("digest", F.col("members").alias("many"))
+    ids = _records(df, record_id, text, size).select("id", "digest").distinct()
+    ids = ids.join(F.broadcast(hot), "digest", "left").withColumn("share", _share_of("id", F.coalesce("many", F.lit(1))))
+    known = reps.join(F.broadcast(hot), "digest", "left").withColumn("share", _all_shares(F.coalesce("many", F.lit(1))))
+    members = ids.join(known.select("digest", "share", "rep", "members"), ["digest", "share"]).select("rep", "id", "members")
+    return reps, checkpointed(members)
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -300,14 +362,15 @@ def similar_groups(
     size: int = SHINGLE,
     rows: int = ROWS,
     miss: float = MISS,
+    weighted: bool = False,
 ) -> DataFrame:
     """One row per comparable record: record_id, group_id (least id of its group), links, copies.
 
     ``links`` counts the different texts its own text is linked to, ``copies``
-    the records with exactly its text.  Defined results as in ``similar_pairs``.
+    the rows with exactly its text.  Defined results as in ``similar_pairs``.
     """
     reps, members = _with_members(df, record_id, text, size)
-    links = checkpointed(similar_representatives(reps, threshold, size, rows, miss))
+    links = checkpointed(similar_representatives(reps, threshold, size, rows, miss, weighted))
     degree = (
         links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     )

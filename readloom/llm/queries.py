@@ -19,6 +19,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.selectExpr("left_id as contig_a", "right_id as contig_b")
 
 
+def p1_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Every substring counts as often as it occurs."""
+    pairs = similar_pairs(table(spark, d, "contigs"), "contig_id", "seq", threshold=0.5, weighted=True)
+    return pairs.selectExpr("left_id as contig_a", "right_id as contig_b")
+
+
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(table(spark, d, "contigs"), "contig_id", "seq", threshold=0.5)
 
@@ -77,6 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found,
+        p1_weighted,
         p1_groups,
         p5_found,
         p5_counts,

@@ -9,6 +9,16 @@ joint as (select a.c as a, b.c as b, count(*) as common from k a join k b on a.m
 pairs as (select a, b from joint join n x on x.c = a join n y on y.c = b where common >= 0.5 * (x.n + y.n - common))
 """
 
+_WEIGHTED = """
+with k as (
+  select c, m, count(*) as often from (
+    select contig_id as c, substr(upper(seq), i, 12) as m
+    from (select contig_id, seq, unnest(range(1, length(seq) - 10)) as i from contigs where length(seq) >= 12)) group by c, m),
+n as (select c, sum(often) as n from k group by c),
+joint as (select a.c as a, b.c as b, sum(least(a.often, b.often)) as common from k a join k b on a.m = b.m and a.c < b.c group by a.c, b.c)
+select a as contig_a, b as contig_b from joint join n x on x.c = a join n y on y.c = b where common >= 0.5 * (x.n + y.n - common)
+"""
+
 _GROUPS = (
     _PAIRS.replace("with k as", "with recursive k as", 1).rstrip()
     + """,
@@ -61,6 +71,7 @@ _FREQUENT = "from reads where seq is not null group by seq having count(*) * 500
 
 SQL = {
     "p1_found": _PAIRS + "select a as contig_a, b as contig_b from pairs",
+    "p1_weighted": _WEIGHTED,
     "p1_groups": _GROUPS,
     "p5_found": f"select seq {_FREQUENT}",
     "p5_counts": f"select seq, count(*) as exact_rows {_FREQUENT}",

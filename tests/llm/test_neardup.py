@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,7 +58,8 @@ def test_signature_agreement_is_weighted_jaccard():
 
 
 def test_signature_does_not_depend_on_company():
-    a, owner = N.shingle_hashes(["ACGTACGTACGTAAAA", "TTTTTTTTTTTTTTTTTTTTTTTT", "short"], 12)
+    a, owner, often = N.shingle_hashes(["ACGTACGTACGTAAAA", "TTTTTTTTTTTTTTTTTTTTTTTT", "short"], 12)
+    assert sorted(often[owner == 0].tolist()) == [1] * 5 and often[owner == 1].tolist() == [13]
     assert np.bincount(owner, minlength=3).tolist() == [5, 1, 0]
     both, filled = N.dart_signatures(a, np.ones(len(a)), owner, 3, 60)
     assert filled.tolist() == [True, True, False]
@@ -73,6 +75,37 @@ def test_pairs_equal_brute_force(spark):
     assert got == brute(rows, 0.5)
 
 
+def test_weighted_pairs_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):  # repeats of one unit: the sets are equal, the weights are not
+        unit = "".join(rng.choice("ACGT") for _ in range(15)) if i % 6 == 0 else unit
+        rows.append((i, unit * rng.randint(1, 12) + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 40))), "x", 1))
+
+    def bag(s):
+        return Counter(s[i : i + 12] for i in range(len(s) - 11))
+
+    bags = {i: bag(s) for i, s, *_ in rows}
+    expected = {
+        (a, b) for a in bags for b in bags if a < b and sum((bags[a] & bags[b]).values()) >= 0.5 * sum((bags[a] | bags[b]).values())
+    }
+    got = {(r.left_id, r.right_id) for r in N.similar_pairs(contigs(spark, rows), "contig_id", "seq", weighted=True).collect()}
+    assert got == expected and got != brute(rows, 0.5)
+
+
+def test_hot_copies_meet_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARE", 2)
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = random.Random(2)
+    base = "".join(rng.choice("ACGT") for _ in range(100))
+    rows = [(i, base if i % 3 else base[:90] + "ACGTA" * 2, "x", 1) for i in range(24)] + [(99, base + "A", "x", 1)]
+    df = contigs(spark, rows)
+    found = [(r.left_id, r.right_id) for r in N.similar_pairs(df, "contig_id", "seq").collect()]
+    assert set(found) == brute(rows, 0.5) and len(set(found)) == len(found) == 25 * 24 // 2
+    groups = N.similar_groups(df, "contig_id", "seq").collect()
+    assert len(groups) == 25 and {r.group_id for r in groups} == {0}
+
+
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 3)
     rng = random.Random(1)
