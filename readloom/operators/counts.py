@@ -88,10 +88,15 @@ def annotate(df: DataFrame, annotations: DataFrame, key: str = "ID", missing: st
     return joined.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in extra})
 
 
-def score_sums(counts: DataFrame, regions: DataFrame | None, name: str) -> DataFrame:
-    """Sum of scores per base, of all rows or of those that overlap any region."""
-    hit = counts if regions is None else overlap_any(counts, regions)
-    return hit.groupBy("base").agg(F.sum("score").cast("bigint").alias(name))
+def score_sums(counts: DataFrame, regions: dict[str, DataFrame]) -> DataFrame:
+    """base, and per kind of regions the sum of the scores that overlap any region of the kind: one join for all kinds."""
+    tagged = None
+    for kind, df in regions.items():
+        df = df.select(F.lit(kind).alias("_kind"), "chrom", "start_pos", "end_pos", "strand")
+        tagged = df if tagged is None else tagged.unionByName(df)
+    asked = counts.select("base", "score", "chrom", "start_pos", "end_pos", "strand", F.explode(F.array(*map(F.lit, regions))).alias("_kind"))
+    hit = overlap_any(asked, tagged, by=["_kind"])
+    return hit.groupBy("base").agg(*[F.sum(F.when(F.col("_kind") == k, F.col("score"))).cast("bigint").alias(k) for k in regions])
 
 
 def qualify(design: DataFrame, totals: DataFrame, counts: DataFrame, regions: dict[str, DataFrame]) -> DataFrame:
@@ -101,17 +106,16 @@ def qualify(design: DataFrame, totals: DataFrame, counts: DataFrame, regions: di
     spikein_5end, coding_whole, coding_5end.  Missing counts are 0; zero
     denominators give infinity or NaN.
     """
-    out = design.join(totals, "base", "left")
     sums = {
-        "MAPPED_READS": None,
         "RIBOSOME_READS": regions["ribosome"],
         "SPIKEIN_READS": regions["spikein_whole"],
         "SPIKEIN_5END_READS": regions["spikein_5end"],
         "CODING_READS": regions["coding_whole"],
         "CODING_5END_READS": regions["coding_5end"],
     }
-    for name, region in sums.items():
-        out = out.join(score_sums(counts, region, name), "base", "left")
+    mapped = counts.groupBy("base").agg(F.sum("score").cast("bigint").alias("MAPPED_READS"))
+    out = design.join(totals, "base", "left").join(mapped, "base", "left").join(score_sums(counts, sums), "base", "left")
+    sums = ["MAPPED_READS", *sums]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("TOTAL_READS", *sums)})
     c = F.col
     return out.withColumns(

@@ -1,8 +1,12 @@
 """Joins and merges of half-open intervals: (chrom, start_pos, end_pos, name, score, strand).
 
-Range predicates become equi-joins on bins: an interval is listed in every bin
-it touches, and a pair is emitted only in the bin where the later of the two
-begins, so it comes out once.
+Range predicates become equi-joins on bins whose size follows the data: every
+interval belongs to the level of bins that are as long as itself or longer, up
+to four times, so it touches two of them at most, and is also listed on those
+higher levels on which the other side has intervals.  A pair meets on the level
+of the longer one, in the bin where the later of the two begins, so it comes
+out once.  Which levels there are is counted before the join: a handful of
+numbers.
 """
 
 from __future__ import annotations
@@ -10,14 +14,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BIN = 1 << 14
+from readloom.operators.periods import merge_periods
 
+#: Bases in a bin of the lowest level; those of the next one are four times as long.
+BIN = 64
+_NO_END = (1 << 62) - 1
 
-def _bins(start: Column, end: Column, size: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / size), F.floor((F.greatest(end, start + 1) - 1) / size)))
+
+def _level(start: Column, end: Column, bin_size: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log2((end - start) / bin_size) / 2)).cast("int")
+
+
+def _bin(position: Column, level: Column, bin_size: int) -> Column:
+    return F.floor(position / F.call_function("shiftleft", F.lit(bin_size).cast("bigint"), level * 2))
+
+
+def _levels(bin_size: int, **sides: DataFrame) -> dict[str, list[int]]:
+    """Levels on which each side has intervals."""
+    rows = None
+    for name, df in sides.items():
+        own = df.select(F.lit(name).alias("side"), _level(F.col("start_pos"), F.col("end_pos"), bin_size).alias("level"))
+        rows = own if rows is None else rows.unionByName(own)
+    found: dict[str, list[int]] = {name: [] for name in sides}
+    for r in rows.distinct().collect():
+        found[r.side].append(r.level)
+    return found
+
+
+def _listed(df: DataFrame, start: str, end: str, level: str, others: Sequence[int], name: str, bin_size: int) -> DataFrame:
+    """A row per level and bin: on the own level, and on the higher ones of ``others``."""
+    higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col(level))
+    rows = df.withColumn(f"{name}_on", F.explode(F.concat(F.array(level), higher)))
+    on = F.col(f"{name}_on")
+    return rows.withColumn(
+        f"{name}_bin", F.explode(F.sequence(_bin(F.col(start), on, bin_size), _bin(F.col(end) - 1, on, bin_size)))
+    )
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -25,48 +59,78 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, stranded: bool = True, bin_size: int = BIN) -> DataFrame:
-    """All overlapping pairs; columns of ``a`` get the prefix a_, those of ``b`` b_."""
+    """All overlapping pairs; columns of ``a`` get the prefix a_, those of ``b`` b_.
+
+    Null positions, chromosomes or strands overlap nothing, nor do intervals without a base.
+    """
     on = ["chrom", "strand"] if stranded else ["chrom"]
+    a, b = a.where("start_pos < end_pos"), b.where("start_pos < end_pos")
+    levels = _levels(bin_size, a=a, b=b)
     sides = []
-    for p, df in (("a", a), ("b", b)):
-        side = _prefixed(df.where("start_pos < end_pos"), p)
-        sides.append(side.withColumn(f"{p}_bin", _bins(F.col(f"{p}_start_pos"), F.col(f"{p}_end_pos"), bin_size)))
+    for p, df, others in (("a", a, levels["b"]), ("b", b, levels["a"])):
+        side = _prefixed(df, p)
+        side = side.withColumn(f"{p}__level", _level(F.col(f"{p}_start_pos"), F.col(f"{p}_end_pos"), bin_size))
+        sides.append(_listed(side, f"{p}_start_pos", f"{p}_end_pos", f"{p}__level", others, f"{p}_", bin_size))
     left, right = sides
-    cond = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in on] + [F.col("a_bin") == F.col("b_bin")]
+    cond = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*on, "_on", "_bin")]
     joined = left.join(right, cond).where(
         (F.col("a_start_pos") < F.col("b_end_pos"))
         & (F.col("b_start_pos") < F.col("a_end_pos"))
-        & (F.col("a_bin") == F.floor(F.greatest("a_start_pos", "b_start_pos") / bin_size))
+        & ((F.col("a__level") == F.col("a__on")) | (F.col("b__level") == F.col("a__on")))
+        & (F.col("a__bin") == _bin(F.greatest("a_start_pos", "b_start_pos"), F.col("a__on"), bin_size))
     )
-    return joined.drop("a_bin", "b_bin")
+    return joined.drop(*[f"{p}_{c}" for p in "ab" for c in ("_level", "_on", "_bin")])
 
 
-def overlap_any(a: DataFrame, b: DataFrame, stranded: bool = True, bin_size: int = BIN) -> DataFrame:
-    """Rows of ``a`` that overlap any of ``b``, each once.
+def overlap_any(a: DataFrame, b: DataFrame, stranded: bool = True, bin_size: int = BIN, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``a`` that overlap any of ``b``, each as often as it is in ``a``; further columns ``by`` must agree, too.
 
-    ``b`` is merged first; intervals of one base meet one bin and one merged interval at most, so they need no
-    de-duplication.  Longer ones are cut at bin borders and reduced by their own row number.
+    The united stretches of ``b``, the gaps between them and the open space behind the last divide the axis, so the
+    last base of a row lies in one of these at most: rows need no numbers and no de-duplication.  A row that ends in
+    a gap overlaps if it begins before the gap.  A bin meets a few of these disjoint pieces only, whatever their number.
     """
-    on = ["chrom", "strand"] if stranded else ["chrom"]
-    merged = merge_intervals(b, on).select(*[F.col(c).alias(f"b_{c}") for c in on], F.col("start_pos").alias("b_s"), F.col("end_pos").alias("b_e"))
-    merged = merged.withColumn("b_bin", _bins(F.col("b_s"), F.col("b_e"), bin_size))
-    rows = a.where("start_pos < end_pos").withColumn("_row", F.monotonically_increasing_id())
-    pieces = rows.select("_row", *on, "start_pos", "end_pos", _bins(F.col("start_pos"), F.col("end_pos"), bin_size).alias("_bin"))
-    cond = [F.col(c) == F.col(f"b_{c}") for c in on]
-    cond += [F.col("_bin") == F.col("b_bin"), F.col("start_pos") < F.col("b_e"), F.col("b_s") < F.col("end_pos")]
-    points = rows.where("end_pos - start_pos = 1").withColumn("_bin", F.floor(F.col("start_pos") / bin_size))
-    points = points.join(merged, cond, "left_semi").drop("_bin", "_row")
-    wide = pieces.where("end_pos - start_pos > 1").join(merged, cond, "left_semi").select("_row").distinct()
-    return points.unionByName(rows.where("end_pos - start_pos > 1").join(wide, "_row", "left_semi").drop("_row"))
+    on = [*by, "chrom", "strand"] if stranded else [*by, "chrom"]
+    known = b.where(" and ".join(f"{c} is not null" for c in on))
+    pieces = _united(known, on, gaps=True)
+    last = pieces.where("_piece = 'merged'").groupBy(*on).agg(F.max("end_pos").alias("start_pos"))
+    pieces = pieces.unionByName(last.select(*on, F.lit("gap").alias("_piece"), "start_pos", F.lit(_NO_END).alias("end_pos")))
+    levels = _levels(bin_size, b=pieces)["b"]
+    pieces = pieces.select(
+        *[F.col(c).alias(f"b_{c}") for c in (*on, "_piece", "start_pos", "end_pos")],
+        _level(F.col("start_pos"), F.col("end_pos"), bin_size).alias("b_level"),
+    )
+    pieces = _listed(pieces, "b_start_pos", "b_end_pos", "b_level", [], "b", bin_size)
+    at = F.col("end_pos") - 1
+    rows = a.where("start_pos < end_pos").withColumn("_on", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    rows = rows.withColumn("_bin", _bin(at, F.col("_on"), bin_size))
+    cond = [F.col(c) == F.col(f"b_{c}") for c in on] + [F.col("_on") == F.col("b_on"), F.col("_bin") == F.col("b_bin")]
+    cond += [F.col("b_start_pos") <= at, at < F.col("b_end_pos"), (F.col("b__piece") == "merged") | (F.col("start_pos") < F.col("b_start_pos"))]
+    return rows.join(pieces, cond, "left_semi").drop("_on", "_bin")
+
+
+def _united(df: DataFrame, by: Sequence[str], gaps: bool = False) -> DataFrame:
+    """Columns of ``by``, _piece (merged or gap), start_pos, end_pos: united stretches and, if asked for, the gaps between them."""
+    kinds = StructType([df.schema[c] for c in by])
+    rows = df.select(
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in by])).alias("e") if by else F.lit("{}").alias("e"),
+        F.col("start_pos").cast("bigint").alias("l"),
+        (F.col("end_pos") - 1).cast("bigint").alias("r"),
+    )
+    out = merge_periods(rows, "e", "l", "r")
+    if not gaps:
+        out = out.where("kind = 'merged'")
+    out = out.withColumn("e", F.from_json("e", kinds)) if by else out
+    return out.select(
+        *[F.col("e")[c].alias(c) for c in by], F.col("kind").alias("_piece"), F.col("left_pos").alias("start_pos"), (F.col("right_pos") + 1).alias("end_pos")
+    )
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Union of overlapping or touching half-open intervals within ``by``."""
-    over = W.partitionBy(*by).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(over.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.select(*by, "start_pos", "end_pos").distinct().withColumn("_new", (reach.isNull() | (F.col("start_pos") > reach)).cast("int"))
-    islands = marked.withColumn("_island", F.sum("_new").over(over))
-    return islands.groupBy(*by, "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_island")
+    """Union of overlapping or touching half-open intervals within ``by``; one key may have any share of the rows.
+
+    Intervals with a null end or without a base are left out; nulls in ``by`` are one key.
+    """
+    return _united(df, by).drop("_piece")
 
 
 def gap_distances(a: DataFrame, b: DataFrame, minimum: int = -10_000, maximum: int = 2_500, bin_size: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ that spans tasks, so this table is bounded by the number of partitions.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
@@ -31,34 +31,55 @@ STATE_ROWS = 1 << 18
 
 
 class IntervalMap:
-    """Disjoint closed intervals in order; neighbours that adjoin are one."""
+    """Disjoint closed intervals in order, neighbours that adjoin being one, and the gaps between them.
 
-    __slots__ = ("lefts", "rights")
+    Gap i lies between stretches i and i + 1.
+    """
+
+    __slots__ = ("gap_lefts", "gap_rights", "lefts", "rights")
 
-    def __init__(self) -> None:
-        self.lefts: list[int] = []
-        self.rights: list[int] = []
+    def __init__(self, lefts: Iterable[int] = (), rights: Iterable[int] = ()) -> None:
+        self.lefts, self.rights = list(lefts), list(rights)
+        self.gap_lefts = [r + 1 for r in self.rights[:-1]]
+        self.gap_rights = [left - 1 for left in self.lefts[1:]]
 
     def add(self, left: int, right: int) -> None:
         lefts, rights = self.lefts, self.rights
-        if not lefts or left > rights[-1] + 1:  # the usual case of sorted input
+        if not lefts or left > rights[-1] + 1:  # behind all others
+            if lefts:
+                self.gap_lefts.append(rights[-1] + 1)
+                self.gap_rights.append(left - 1)
             lefts.append(left)
             rights.append(right)
             return
         first = bisect_left(rights, left - 1)
         last = bisect_right(lefts, right + 1)
         if first < last:
+            if lefts[first] <= left and right <= rights[first]:  # nested
+                return
             left, right = min(left, lefts[first]), max(right, rights[last - 1])
-            lefts[first:last], rights[first:last] = [left], [right]
-        else:
-            lefts.insert(first, left)
-            rights.insert(first, right)
+        lefts[first:last], rights[first:last] = [left], [right]
+        # the gaps before, within and behind the new stretch give way to at most two
+        fresh = [(rights[first - 1] + 1, left - 1)] if first else []
+        if first + 1 < len(lefts):
+            fresh.append((right + 1, lefts[first + 1] - 1))
+        begin = max(first - 1, 0)
+        self.gap_lefts[begin:last] = [g[0] for g in fresh]
+        self.gap_rights[begin:last] = [g[1] for g in fresh]
+
+    def take_front(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Removes and returns all stretches but the last, and all gaps."""
+        done = list(zip(self.lefts[:-1], self.rights[:-1])), list(self.gaps())
+        del self.lefts[:-1], self.rights[:-1]
+        self.gap_lefts.clear()
+        self.gap_rights.clear()
+        return done
 
     def stretches(self) -> Iterator[tuple[int, int]]:
         return zip(self.lefts, self.rights)
 
     def gaps(self) -> Iterator[tuple[int, int]]:
-        return ((r + 1, l - 1) for r, l in zip(self.rights, self.lefts[1:]))
+        return zip(self.gap_lefts, self.gap_rights)
 
     def __len__(self) -> int:
         return len(self.lefts)
@@ -87,14 +108,14 @@ def _local(state_rows: int):
     return run
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ordered(batches: Iterator[pd.DataFrame], state_rows: int = 1 << 14) -> Iterator[pd.DataFrame]:
     """Rows come sorted by entity and left end; emits stretches and the gaps between them."""
     part = TaskContext.get().partitionId()
     entity, m, out = None, None, []
 
-    def close() -> None:
-        out.extend((part, entity, "merged", l, r) for l, r in m.stretches())
-        out.extend((part, entity, "gap", l, r) for l, r in m.gaps())
+    def keep(stretches, gaps) -> None:
+        out.extend((part, entity, "merged", l, r) for l, r in stretches)
+        out.extend((part, entity, "gap", l, r) for l, r in gaps)
 
     def frame() -> pd.DataFrame:
         ready = pd.DataFrame(out, columns=["part", "e", "kind", "l", "r"])
@@ -105,18 +126,15 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for e, l, r in zip(batch["e"], batch["l"].tolist(), batch["r"].tolist()):
             if m is None or e != entity:
                 if m is not None:
-                    close()
+                    keep(m.stretches(), m.gaps())
                 entity, m = e, IntervalMap()
             m.add(l, r)
-            if len(m) > 1:  # sorted input never reaches back behind the last stretch
-                (l0, l1), (r0, r1) = m.lefts, m.rights
-                out.append((part, e, "merged", l0, r0))
-                out.append((part, e, "gap", r0 + 1, l1 - 1))
-                m.lefts, m.rights = [l1], [r1]
+        if m is not None and len(m) > state_rows:  # sorted input never reaches back behind the last stretch
+            keep(*m.take_front())
         if len(out) > 50_000:
             yield frame()
     if m is not None:
-        close()
+        keep(m.stretches(), m.gaps())
     yield frame()
 
 
@@ -144,7 +162,8 @@ def merge_periods(
     rows = df.select(
         F.col(f"`{entity}`").alias("e"), F.col(f"`{left}`").cast("bigint").alias("l"), F.col(f"`{right}`").cast("bigint").alias("r")
     ).where(F.col("e").isNotNull() & F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("l") <= F.col("r")))
-    local = rows.mapInPandas(_local(state_rows), f"e {kind}, l bigint, r bigint")
+    # written once: the range partitioning reads it twice, for its sample and for the rows
+    local = checkpointed(rows.mapInPandas(_local(state_rows), f"e {kind}, l bigint, r bigint"))
     parts = checkpointed(
         local.repartitionByRange(n, "e", "l")
         .sortWithinPartitions("e", "l")

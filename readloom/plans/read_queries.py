@@ -410,7 +410,8 @@ t as (select b.name as name1, a.name as name2,
   where (b.strand = '+' and a.end_pos - b.start_pos + 1 >= -20 and a.end_pos - b.start_pos + 1 < 20)
      or (b.strand <> '+' and b.end_pos - a.start_pos + 1 >= -20 and b.end_pos - a.start_pos + 1 < 20))
 select * from t""")
-def gap(spark, d):
+def gap_near(spark, d):
+    """Pairs within 20 bases, listed."""
     return I.gap_distances(regions(spark, d), bed(spark, d), -20, 20)
 
 
@@ -421,8 +422,8 @@ t as (select b.name as name1, a.end_pos - b.start_pos + 1 as dist from regions b
   select b.name, b.end_pos - a.start_pos + 1 from regions b join bed a on a.chrom = b.chrom
     and a.start_pos > b.end_pos - 2499 and a.start_pos <= b.end_pos + 10001 where b.strand <> '+')
 select name1, dist, count(*) as pairs from t group by name1, dist""")
-def gap_spread(spark, d):
-    """Every pair of the default window -10000..2500, counted per name and distance; ``gap`` lists only those within 20."""
+def gap(spark, d):
+    """Every pair of the default window -10000..2500, counted per name and distance."""
     return I.gap_distances(regions(spark, d), spread(bed(spark, d))).groupBy("name1", "dist").agg(F.count("*").alias("pairs"))
 
 
@@ -470,17 +471,6 @@ def quantify(spark, d):
     return out.withColumn("N", F.round("N", 6))
 
 
-_MATRIX_BASES = ("Lib102", "Lib103", "run7-a")
-
-
-@query(_QUANT + " select id as \"ID\", " + ", ".join(
-    f"cast(coalesce(sum(r) filter (base = '{b}'), 0) as bigint) as \"R|{b}\"" for b in _MATRIX_BASES) + " from t group by id")
-def count_matrix(spark, d):
-    """Wide form for the sink."""
-    long = C.count_per_region(hits(spark, d), hit_regions(spark, d), ["base"])
-    return C.wide(long, "ID", "base", "COUNT", _MATRIX_BASES, "R")
-
-
 #: Libraries that may become columns.
 _MOST_LIBRARIES = 5_000
 
@@ -499,19 +489,45 @@ d as (select t.* from t join design using (base)),
 cells as (select i.id as "ID", 'R|' || design.base as cell, cast(coalesce(d.r, 0) as bigint) as r
   from (select distinct id from d) i cross join design left join d on d.id = i.id and d.base = design.base)
 pivot cells on cell using first(r) group by "ID\"""")
-def count_matrix_design(spark, d):
-    """Wide form with a column for every library of the design; ``count_matrix`` has three of them."""
+def read_matrix(spark, d):
+    """Reads per region in wide form, with a column for every library of the design."""
     bases = libraries(spark, d)
     long = C.count_per_region(hits(spark, d).where(F.col("base").isin(bases)), hit_regions(spark, d), ["base"])
     return C.wide(long, "ID", "base", "COUNT", bases, "R")
 
 
+_ENDS = f"""with {_HIT_REGIONS},
+t as (select r.name as id, h.base, h.hit_id from hit_regions r join region_hits h
+  on r.chrom = h.chrom and r.strand = h.strand and r.start_pos < h.end_pos and h.start_pos < r.end_pos)"""
+
+
+@query(_ENDS + """, design as (select distinct base from samples where base is not null),
+d as (select id, base, count(distinct hit_id) as n from t join design using (base) group by id, base),
+cells as (select i.id as "ID", 'R|' || design.base as cell, coalesce(d.n, 0) as n
+  from (select distinct id from d) i cross join design left join d on d.id = i.id and d.base = design.base)
+pivot cells on cell using first(n) group by "ID\"""")
+def count_matrix(spark, d):
+    """Distinct 5' ends per region in wide form for the sink, with a column for every library of the design."""
+    bases = libraries(spark, d)
+    design = table(spark, d, "samples").where("base is not null").select(F.col("base").alias("sample"), "base").distinct()
+    long = C.count_distinct_per_region(hit_regions(spark, d), hits(spark, d), design)
+    return C.wide(long, "ID", "sample", "n", bases, "R")
+
+
+@query(_ENDS + """ select t.id as "ID", s.name as sample, count(distinct hit_id) as n
+from t join (select distinct name, base from samples where name is not null and base is not null) s using (base) group by t.id, s.name""")
+def count_per_sample(spark, d):
+    """Distinct 5' ends per region and sample name in long form: a name has the ends of all its libraries."""
+    design = table(spark, d, "samples").where("name is not null and base is not null").select(F.col("name").alias("sample"), "base").distinct()
+    return C.count_distinct_per_region(hit_regions(spark, d), hits(spark, d), design)
+
+
 _Q_REGIONS = f"""with {_HIT_REGIONS},
 q as (select 'ribosome' as k, chrom, strand, start_pos, end_pos from hit_regions where starts_with(name, 'RIBO_')
   union all select 'spikein_whole', chrom, strand, start_pos, end_pos from hit_regions where starts_with(name, 'RNA_SPIKE_')
   union all select 'spikein_5end', chrom, strand, start_pos, start_pos + 200 from hit_regions where starts_with(name, 'RNA_SPIKE_')
-  union all select 'coding_whole', chrom, strand, start_pos, end_pos from hit_regions where not starts_with(name, 'R')
-  union all select 'coding_5end', chrom, strand, start_pos, start_pos + 100 from hit_regions where not starts_with(name, 'R')),
+  union all select 'coding_whole', chrom, strand, start_pos, end_pos from hit_regions where not starts_with(name, 'RIBO_') and not starts_with(name, 'RNA_SPIKE_')
+  union all select 'coding_5end', chrom, strand, start_pos, start_pos + 100 from hit_regions where not starts_with(name, 'RIBO_') and not starts_with(name, 'RNA_SPIKE_')),
 m as (select base, hit_id, score, chrom, strand, start_pos, end_pos from region_hits),
 h as (select q.k, m.base, m.hit_id, any_value(m.score) as score from m join q
   on m.chrom = q.chrom and m.strand = q.strand and m.start_pos < q.end_pos and q.start_pos < m.end_pos group by q.k, m.base, m.hit_id),
@@ -533,7 +549,7 @@ def qualify(spark, d):
     all_regions = hit_regions(spark, d)
     ribosome = all_regions.where("startswith(name, 'RIBO_')")
     spikes = all_regions.where("startswith(name, 'RNA_SPIKE_')")
-    coding = all_regions.where("not startswith(name, 'R')")
+    coding = all_regions.where("not startswith(name, 'RIBO_') and not startswith(name, 'RNA_SPIKE_')")
     sets = {
         "ribosome": ribosome,
         "spikein_whole": spikes,

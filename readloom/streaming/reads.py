@@ -41,10 +41,7 @@ PERIODS = "acc string, kind string, left_pos bigint, right_pos bigint"
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    m = IntervalMap()
-    if state.exists:
-        lefts, rights = state.get
-        m.lefts, m.rights = list(lefts), list(rights)
+    m = IntervalMap(*state.get) if state.exists else IntervalMap()
     for batch in batches:
         for left, right in zip(batch["left_pos"].tolist(), batch["right_pos"].tolist()):
             m.add(left, right)

@@ -34,6 +34,12 @@ def test_overlaps_equal_nested_loop(spark, size):
     pairs = I.overlap_pairs(bed(spark, a), bed(spark, b), bin_size=size).select("a_name", "b_name").collect()
     assert sorted(map(tuple, pairs)) == sorted((x[3], y[3]) for x in a for y in b if hit(x, y))
     a += [(c, s, s + 1, n + "p", 1, d) for c, s, _, n, _, d in a[:40]]
+    a += a[:5] + [(None, 1, 9, "m1", 1, "+"), ("a", 1, 9, "m2", 1, None), ("a", None, 9, "m3", 1, "+"), ("z", 1, 9, "m4", 1, "+")]
+    b += [("a", 100, 250_000, "long", 1, "+"), ("a", 7, 7, "none", 1, "+"), (None, 1, 9, "m5", 1, "+"), ("a", 5, None, "m6", 1, "+")]
+    a += [("a", 249_000 + i, 249_000 + i * 300, f"far{i}", 1, "+") for i in range(1, 9)]
+    hit = lambda x, y: None not in (*x, *y) and x[0] == y[0] and x[5] == y[5] and x[1] < y[2] and y[1] < x[2] and y[1] < y[2]
+    pairs = I.overlap_pairs(bed(spark, a), bed(spark, b), bin_size=size).select("a_name", "b_name").collect()
+    assert sorted(map(tuple, pairs)) == sorted((x[3], y[3]) for x in a for y in b if hit(x, y))
     got = I.overlap_any(bed(spark, a), bed(spark, b), bin_size=size).select("name").collect()
     assert sorted(r[0] for r in got) == sorted(x[3] for x in a if any(hit(x, y) for y in b))
 
@@ -64,6 +70,11 @@ def test_merge(spark):
     df = bed(spark, [("c", s, e, "g", 0, "+") for s, e in ((1, 5), (5, 7), (9, 12), (10, 11))])
     got = I.merge_intervals(df, ["chrom", "strand"]).orderBy("start_pos").collect()
     assert [(r.start_pos, r.end_pos) for r in got] == [(1, 7), (9, 12)]
+    odd = bed(spark, [(None, 1, 5, "g", 0, "+"), (None, 4, 9, "g", 0, "+"), ('"q\\', 4, 9, "g", 0, "+"), ("c", 5, 5, "g", 0, "+"), ("c", None, 5, "g", 0, "+")])
+    got = I.merge_intervals(odd, ["chrom", "strand"]).collect()
+    assert sorted((r.chrom or "", r.strand, r.start_pos, r.end_pos) for r in got) == [("", "+", 1, 9), ('"q\\', "+", 4, 9)]
+    assert I.merge_intervals(odd.limit(0), ["chrom"]).count() == 0 and I.overlap_any(odd, odd.limit(0)).count() == 0
+    assert I.overlap_pairs(odd.limit(0), odd).count() == 0
 
 
 def test_five_prime_points(spark):
@@ -142,7 +153,7 @@ def test_count_tables(spark):
     assert got == {"RNA_SPIKE_1": (4, 1000.0, "NA"), "g": (4, 1000.0, "n")}
 
 
-def test_gap_spread_has_the_whole_default_window(spark, tmp_path):
+def test_gap_has_the_whole_default_window(spark, tmp_path):
     parts = spark.createDataFrame([(5000, 1, "x"), (5001, 1, "y")], "p_partkey int, p_size int, p_brand string")  # chr1 +, chr2 -
     rows = [(k, n, s) for k in (3000, 4900, 5000, 5100, 5300, 6100) for n in (1, 2) for s in (0, 1)]
     items = spark.createDataFrame(rows, "l_partkey int, l_linenumber int, l_suppkey int")
@@ -154,7 +165,7 @@ def test_gap_spread_has_the_whole_default_window(spark, tmp_path):
         if -10_000 <= dist < 2_500:
             expected[name, dist] = expected.get((name, dist), 0) + 1
     assert min(expected)[1] < -20 and max(expected)[1] >= 20
-    got = {(r.name1, r.dist): r.pairs for r in read_queries.gap_spread(spark, str(tmp_path)).collect()}
+    got = {(r.name1, r.dist): r.pairs for r in read_queries.gap(spark, str(tmp_path)).collect()}
     assert got == expected
 
 
@@ -164,6 +175,9 @@ def test_matrix_has_every_library_of_the_design(spark, tmp_path):
     hits.write.parquet(f"{tmp_path}/region_hits.parquet")
     design = spark.createDataFrame([("own-2",), ("own-1",), ("own-1",), ("empty",), (None,)], "base string")
     design.write.parquet(f"{tmp_path}/samples.parquet")
-    got = read_queries.count_matrix_design(spark, str(tmp_path))
+    got = read_queries.read_matrix(spark, str(tmp_path))
     assert got.columns == ["ID", "R|empty", "R|own-1", "R|own-2"]
     assert [tuple(r) for r in got.collect()] == [("g", 0, 3, 9)]
+    got = read_queries.count_matrix(spark, str(tmp_path))
+    assert got.columns == ["ID", "R|empty", "R|own-1", "R|own-2"]
+    assert [tuple(r) for r in got.collect()] == [("g", 0, 1, 2)]

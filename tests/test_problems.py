@@ -164,6 +164,20 @@ def test_interval_map():
     for iv in ((10, 12), (1, 2), (5, 6), (3, 4), (20, 30), (11, 22)):
         m.add(*iv)
     assert list(m.stretches()) == [(1, 6), (10, 30)] and list(m.gaps()) == [(7, 9)]
+    rng = random.Random(4)
+    for _ in range(200):
+        m, covered = IntervalMap(), set()
+        for _ in range(rng.randint(1, 25)):
+            left = rng.randint(0, 60)
+            right = left + rng.randint(0, 6)
+            m.add(left, right)
+            covered |= set(range(left, right + 1))
+        inside = {x for a, b in m.stretches() for x in range(a, b + 1)}
+        between = {x for a, b in m.gaps() for x in range(a, b + 1)}
+        assert inside == covered and between == set(range(min(covered), max(covered) + 1)) - covered
+        assert len(list(m.gaps())) == len(m) - 1
+        again = IntervalMap(m.lefts, m.rights)
+        assert list(again.gaps()) == list(m.gaps())
 
 
 # Problem 7
