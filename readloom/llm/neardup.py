@@ -253,8 +253,8 @@ def candidate_pairs(reps: DataFrame, threshold: float, size: int, rows: int, mis
     """Distinct pairs (a < b) of representatives sharing a band; buckets of any size are compared in blocks."""
     bands = bands_for(threshold, rows, miss)
     keyed = spread(reps.select("rep", "text")).mapInArrow(_signer(size, bands, rows, weighted), "rep bigint, key bigint")
-    keyed = keyed.repartition("key")  # dealt out by key once, for the count and for the join
-    sized = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.repartition("key")  # dealt out by key once, for the count and for the join: both read the same columns
+    sized = keyed.groupBy("key").agg(F.count("rep").alias("n")).where("n > 1")
     shared = checkpointed(keyed.join(sized.hint("shuffle_hash"), "key"))  # few keys are shared: no sort of the many
     return block_pairs(shared).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
