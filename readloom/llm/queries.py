@@ -37,14 +37,14 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequent_values(table(spark, d, "reads"), "seq", 0.002).select("seq", "exact_rows")
 
 
-def _typed(spark: SparkSession, d: str) -> DataFrame:
+def _typed(spark: SparkSession, d: str, embedded: bool = False) -> DataFrame:
     barcodes = table(spark, d, "barcode_map").orderBy("pos")
     lists = {
         "bc": (barcodes, "bc", 1),
         "well": (barcodes, "well", None),
-        "acc": (table(spark, d, "fasta_index"), "acc", 2),
+        "acc": (table(spark, d, "fasta_index").orderBy("acc"), "acc", 2),
     }
-    return map_to_canonical(table(spark, d, "typed_entries"), lists)
+    return map_to_canonical(table(spark, d, "typed_entries"), lists, embedded=embedded)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,11 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).where("canonical = 'NA'").select("entry_id")
 
 
+def p6_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Names with other words around them count, too."""
+    return _typed(spark, d, embedded=True).select("entry_id", "canonical")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         p5_counts,
         p6_found,
         p6_unmatched,
+        p6_embedded,
         p8_packed,
         p8_containers,
         p9_found,

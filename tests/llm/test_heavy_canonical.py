@@ -109,6 +109,43 @@ def test_plate_layouts(value, well):
     assert (names[hit[1]] if hit else None) == well
 
 
+def test_each_way_decides(monkeypatch):
+    ways = []
+    real = K.NameList.similar
+    monkeypatch.setattr(K.NameList, "similar", lambda self, v: ways.append(v) or real(self, v))
+    table = K.NameList(["CAAAGT", "GATTACA"], 1)
+    assert table.best("caa-agt") == (0, 0) and ways == []  # a mention that covers the value
+    assert table.best("caaaggt") == (1, 0) and ways == ["caaaggt"]  # token sets and edits
+    assert table.best("well CAAAGT sample") is None
+    inside = K.NameList(["CAAAGT", "GATTACA", "AGT", "CAAAGT 2"], 1, embedded=True)
+    ways.clear()
+    assert inside.best("barcode: CAAAGT") == (7, 0) and inside.best("agt / gattaca") == (3, 1) and ways == []
+    assert inside.best("well caaagt-2!") == (4, 3)  # the longest mention wins
+    assert inside.best("xcaaagty") is None and ways == ["xcaaagty"]  # not between word borders
+    plate = K.PlateList(["A1", "B1"], embedded=True)
+    assert plate.best("plate 3 well A01") == (6, 0) and plate.best("row b, col. 1 (again)") == (5, 1) and plate.best("xa1y") is None
+
+
+def test_embedded_entries(spark):
+    df = entries(spark, ("bc", "well CATCCG sample"), ("bc", "catcg"), ("well", "plate 7, B01"), ("bc", "ggttaa catccg ggttaa"), ("bc", None))
+    assert mapped(spark, df) == {0: "NA", 1: "CATCCG", 2: "NA", 3: "NA", 4: "NA"}
+    for block in (1, 100):
+        assert mapped(spark, df, embedded=True, block_entries=block) == {0: "CATCCG", 1: "CATCCG", 2: "B1", 3: "CATCCG", 4: "NA"}
+
+
+def test_blocks_change_nothing_with_repeated_ids(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("ACG") for _ in range(5)) for _ in range(30)})
+    typed = ["".join(rng.choice("ACG") for _ in range(rng.randint(4, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(i // 3, "bc", t) for i, t in enumerate(typed)], "entry_id bigint, field string, typed string")
+    table = spark.createDataFrame([(n,) for n in names], "bc string").orderBy("bc")
+    one, many = (
+        sorted((r.entry_id, r.canonical, r.edits if r.edits is not None else -1) for r in K.map_to_canonical(df, {"bc": (table, "bc", 1)}, block_entries=size).collect())
+        for size in (1000, 7)
+    )
+    assert one == many and len(one) == 60
+
+
 def entries(spark, *rows):
     return spark.createDataFrame([(i, f, t, "x") for i, (f, t) in enumerate(rows)], "entry_id bigint, field string, typed string, canonical string")
 
