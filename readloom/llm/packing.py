@@ -28,8 +28,6 @@ from readloom.session import checkpointed
 CAPACITY = 512
 BLOCK_ITEMS = 20_000
 NODES = 20_000
-#: Characters handed to the tokenizer at once; longer texts are tokenized slice by slice.
-SLICE = 50_000
 
 
 def default_tokenizer() -> str:
@@ -50,18 +48,16 @@ def load_tokenizer(path: str):
 
 def token_lengths(text: str, encoding) -> np.ndarray:
     """Bytes of each token of the text, in order."""
-    lengths: list[int] = []
-    for i in range(0, len(text), SLICE):
-        tokens = encoding.encode_ordinary(text[i : i + SLICE].encode("utf-8", "replace").decode("utf-8"))
-        lengths += [len(b) for b in encoding.decode_tokens_bytes(tokens)]
-    return np.array(lengths, np.int64)
+    tokens = encoding.encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))
+    return np.array([len(b) for b in encoding.decode_tokens_bytes(tokens)], np.int64)
 
 
 def pieces_of(text: str, encoding, capacity: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece in characters; one piece unless the text exceeds the capacity.
 
     A text is cut where a token and a character end together.  A piece holds
-    at most ``capacity`` tokens also when it is tokenized by itself.
+    at most ``capacity`` tokens also when it is tokenized by itself, unless it
+    is one character that takes more than that.
     """
     if not text:
         return []
@@ -79,12 +75,13 @@ def pieces_of(text: str, encoding, capacity: int) -> list[tuple[int, int, int]]:
         while True:
             while stop > token + 1 and not at_char[ends[stop - 1]]:
                 stop -= 1
-            if not at_char[ends[stop - 1]]:  # one character made of many tokens
-                while not at_char[ends[stop - 1]]:
-                    stop += 1
+            least = token + 1  # the piece's first character, which may be made of many tokens, is never cut
+            while not at_char[ends[least - 1]]:
+                least += 1
+            stop = max(stop, least)
             end = int(chars_before[ends[stop - 1]])
             size = len(token_lengths(text[char:end], encoding))
-            if size <= capacity or stop <= token + 1:
+            if size <= capacity or stop <= least:
                 break
             stop = max(token + 1, stop - (size - capacity))
         out.append((char, end, size))
@@ -307,21 +304,35 @@ def _tokenize(path: str, capacity: int):
     return run
 
 
-def _fill(capacity: int, nodes: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tokens", "doc_id", "piece_no"], kind="stable").reset_index(drop=True)
-        sizes = group["tokens"].tolist()
-        waiting: dict[int, list[int]] = {}
-        for i in range(len(sizes) - 1, -1, -1):
-            waiting.setdefault(sizes[i], []).append(i)
-        container, slot = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        for b, items in enumerate(bin_completion([min(s, capacity) for s in sizes], capacity, nodes)):
-            for k, s in enumerate(items):
-                at = waiting[s].pop()
-                container[at], slot[at] = b, k
-        group["container_id"] = (group["block"].to_numpy(np.int64) << 32) + container
-        group["slot"] = slot
-        return group[["container_id", "slot", "doc_id", "piece_no", "start_pos", "end_pos", "tokens"]]
+def fill(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
+    """Container and slot of each item; one above the capacity has a container of its own."""
+    container, slot = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    waiting: dict[int, list[int]] = {}
+    for i in range(len(sizes) - 1, -1, -1):
+        waiting.setdefault(sizes[i], []).append(i)
+    bins = bin_completion([s for s in sizes if s <= capacity], capacity, nodes)
+    bins += [[s] for s in sizes if s > capacity]
+    for b, items in enumerate(bins):
+        for k, s in enumerate(items):
+            at = waiting[s].pop()
+            container[at], slot[at] = b, k
+    return container, slot
+
+
+def _fill_block(capacity: int, nodes: int):
+    """One block per task: its items, a bounded number of sizes and offsets, are packed together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        whole = pd.concat(parts)
+        for block, group in whole.groupby("block", sort=True):
+            group = group.sort_values(["tokens", "doc_id", "piece_no"], kind="stable").reset_index(drop=True)
+            container, slot = fill(group["tokens"].tolist(), capacity, nodes)
+            group["container_id"] = (int(block) << 32) + container
+            group["slot"] = slot
+            yield group[["container_id", "slot", "doc_id", "piece_no", "start_pos", "end_pos", "tokens"]]
 
     return run
 
@@ -344,7 +355,8 @@ def pack_texts(
     Defined results: null and empty texts need no space and have no row; a
     text is split only if it alone exceeds the capacity; texts of equal size
     are interchangeable and take places in order of doc_id; repeated texts
-    take a place each; an empty table gives an empty result.
+    take a place each; a single character of more tokens than the capacity has
+    a container of its own; an empty table gives an empty result.
     """
     path = tokenizer or default_tokenizer()
     source = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -352,9 +364,9 @@ def pack_texts(
     fields = f"doc_id {kind}, piece_no bigint, start_pos bigint, end_pos bigint, tokens bigint"
     pieces = checkpointed(source.mapInPandas(_tokenize(path, capacity), fields))
     blocks = max(1, -(-pieces.count() // block_items))
-    spread = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(7)), F.lit(blocks)))
-    return spread.groupBy("block").applyInPandas(
-        _fill(capacity, nodes),
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(7)), F.lit(blocks)).cast("int"))
+    return dealt.repartitionById(blocks, F.col("block")).mapInPandas(  # a task per block, never merged into fewer
+        _fill_block(capacity, nodes),
         f"container_id bigint, slot bigint, doc_id {kind}, piece_no bigint, start_pos bigint, end_pos bigint, tokens bigint",
     )
 
@@ -364,3 +376,14 @@ def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.groupBy("container_id").agg(
         F.count("*").alias("pieces"), F.sum("tokens").alias("used"), (F.lit(capacity) - F.sum("tokens")).alias("unused")
     )
+
+
+def packing_bound(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: pieces, tokens, containers, and the least number that could hold them."""
+    used = F.sum(F.least("tokens", F.lit(capacity)))
+    return packed.agg(
+        F.count("*").alias("pieces"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.count_distinct("container_id").alias("containers"),
+        F.coalesce(F.greatest(F.ceil(used / capacity), F.count_if(F.col("tokens") * 2 > capacity)), F.lit(0)).alias("lower_bound"),
+    )

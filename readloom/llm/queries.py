@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.llm.canonical import map_to_canonical
 from readloom.llm.heavy import frequent_values
 from readloom.llm.leakage import find_leaks
 from readloom.llm.neardup import similar_groups, similar_pairs
-from readloom.llm.packing import container_fill, pack_texts
+from readloom.llm.packing import container_fill, pack_texts, packing_bound
 from readloom.llm.privacy import find_personal, redact_personal
 from readloom.llm.sql import SQL  # noqa: F401
 from readloom.session import table
@@ -68,6 +69,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return container_fill(pack_texts(table(spark, d, "documents")))
 
 
+def p8_bound(spark: SparkSession, d: str) -> DataFrame:
+    return packing_bound(pack_texts(table(spark, d, "documents")))
+
+
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each text that are in containers: all of them."""
+    packed = pack_texts(table(spark, d, "documents"))
+    return packed.groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"), F.max("end_pos").alias("last"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -97,6 +108,8 @@ QUERIES = {
         p6_embedded,
         p8_packed,
         p8_containers,
+        p8_bound,
+        p8_covered,
         p9_found,
         p9_leaks,
         p10_found,

@@ -77,5 +77,6 @@ SQL = {
     "p5_counts": f"select seq, count(*) as exact_rows {_FREQUENT}",
     "p6_found": _TYPED + "select v.entry_id, coalesce(h.canonical, 'NA') as canonical from v left join hit h using (entry_id)",
     "p6_unmatched": _TYPED + "select v.entry_id from v left join hit h using (entry_id) where h.canonical is null",
+    "p8_covered": "select doc_id, length(text) as chars, length(text) as last from documents where text <> ''",
     "p9_found": _LEAKS,
 }

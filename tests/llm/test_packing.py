@@ -114,3 +114,42 @@ def test_fillings_are_all_that_nothing_dominates(seed):
     least = room - 2
     full = {f for f in best if sum(f) >= least}
     assert set(P.completions(P._Stock(sizes, 50), room, least)) - {()} == full - {()}
+
+
+@pytest.mark.parametrize("sizes", [[6, 2, 2], [6, 4, 2], [9], [9, 9, 1], []])
+def test_items_above_the_capacity_are_alone(sizes):
+    container, slot = P.fill(sizes, 4)
+    held = {}
+    for s, c in zip(sizes, container.tolist()):
+        held.setdefault(c, []).append(s)
+    assert all(len(h) == 1 if max(h) > 4 else sum(h) <= 4 for h in held.values())
+    assert len(set(zip(container.tolist(), slot.tolist()))) == len(sizes)
+    assert len(held) == len([s for s in sizes if s > 4]) + -(-sum(s for s in sizes if s <= 4) // 4)
+
+
+@pytest.mark.parametrize("capacity", [2, 4])
+def test_small_capacities(spark, encoding, capacity):
+    texts = ["a few plain words here", "é漢😀" * 5, "\U0001f9ec\U0001fac0", "x", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = P.pack_texts(df, capacity=capacity).collect()
+    for i, text in enumerate(texts):
+        pieces = sorted((r.start_pos, r.end_pos) for r in rows if r.doc_id == i)
+        assert "".join((text or "")[a:b] for a, b in pieces) == (text or "")
+    held = {}
+    for r in rows:
+        held.setdefault(r.container_id, []).append(r)
+    for group in held.values():
+        assert sum(r.tokens for r in group) <= capacity or (len(group) == 1 and group[0].end_pos - group[0].start_pos == 1)
+    bound = P.packing_bound(P.pack_texts(df, capacity=capacity), capacity).first()
+    assert bound.pieces == len(rows) and bound.lower_bound <= bound.containers == len(held)
+    assert P.packing_bound(P.pack_texts(df.limit(0)), capacity).first().lower_bound == 0
+
+
+def test_sizes_of_a_long_text_are_those_of_the_tokenizer(encoding):
+    text = "sequencing reads of 12 wells,  " * 6500 + "z" * 500
+    assert len(text) > 200_000
+    whole = encoding.encode_ordinary(text)
+    assert P.token_lengths(text, encoding).tolist() == [len(b) for b in encoding.decode_tokens_bytes(whole)]
+    pieces = P.pieces_of(text, encoding, 512)
+    assert "".join(text[a:b] for a, b, _ in pieces) == text and max(n for *_, n in pieces) <= 512
+    assert len(pieces) <= -(-len(whole) // 512) * 1.02 + 1
