@@ -80,13 +80,19 @@ def p8_covered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    """A document and an item once, by their first passage."""
+    return p9_leaks(spark, d).where("passage = 1").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and shared word windows of each document and item."""
+    return p9_leaks(spark, d).groupBy("doc_id", "item_id").agg(F.count("*").alias("passages"), F.sum("windows").alias("windows"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return find_personal(table(spark, d, "documents"), table(spark, d, "known_names"))
 
@@ -112,6 +118,7 @@ QUERIES = {
         p8_covered,
         p9_found,
         p9_leaks,
+        p9_windows,
         p10_found,
         p10_redacted,
     )

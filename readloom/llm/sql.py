@@ -62,9 +62,9 @@ with d as (
   select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda w: lower(w)) as w from documents where text is not null),
 i as (
   select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda w: lower(w)) as w from eval_items where text is not null),
-dw as (select doc_id, array_to_string(w[s:s+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13)),
-iw as (select distinct item_id, array_to_string(w[s:s+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as s from i where len(w) >= 13))
-select distinct doc_id, item_id from dw join iw using (g)
+dw as (select doc_id, s, array_to_string(w[s:s+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13)),
+iw as (select distinct item_id, array_to_string(w[s:s+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as s from i where len(w) >= 13)),
+shared as (select doc_id, item_id, s, lag(s) over (partition by doc_id, item_id order by s) as before from dw join iw using (g))
 """
 
 _FREQUENT = "from reads where seq is not null group by seq having count(*) * 500 >= (select count(*) from reads)"
@@ -78,5 +78,8 @@ SQL = {
     "p6_found": _TYPED + "select v.entry_id, coalesce(h.canonical, 'NA') as canonical from v left join hit h using (entry_id)",
     "p6_unmatched": _TYPED + "select v.entry_id from v left join hit h using (entry_id) where h.canonical is null",
     "p8_covered": "select doc_id, length(text) as chars, length(text) as last from documents where text <> ''",
-    "p9_found": _LEAKS,
+    "p9_found": _LEAKS + "select distinct doc_id, item_id from shared",
+    "p9_windows": _LEAKS
+    + """select doc_id, item_id, count(*) filter (before is null or s > before + 13) as passages, count(*) as windows
+from shared group by doc_id, item_id""",
 }

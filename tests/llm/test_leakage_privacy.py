@@ -24,20 +24,41 @@ def test_leaks_equal_brute_force(spark, block):
         spark.createDataFrame(docs, "doc_id bigint, text string, item_id int"),
         spark.createDataFrame(items, "item_id bigint, text string, doc_id string"),
         words=4,
-        block_items=block,
+        block_windows=block,
     ).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, i) for d, t, _ in docs for i, s, _ in items if shares(t, s, 4))
+    assert sorted((r.doc_id, r.item_id) for r in got if r.passage == 1) == sorted((d, i) for d, t, _ in docs for i, s, _ in items if shares(t, s, 4))
 
 
 def test_leak_offsets(spark):
     index = L.PassageIndex([(1, "one two three"), (2, "ONE, two; three!"), (3, "two words")], 3)
     text = "¿Zero: One  TWO\nthree… four one two three"
     spans = sorted(index.spans(text))
-    assert [(i, n) for i, _, _, n in spans] == [(1, 2), (2, 2)]
-    assert text[spans[0][1] : spans[0][2]].startswith("One") and text[spans[0][1] : spans[0][2]].endswith("three")
+    assert [(i, p, n) for i, p, _, _, n in spans] == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1)]
+    assert [text[a:b] for i, _, a, b, _ in spans if i == 1] == ["One  TWO\nthree", "one two three"]
     assert L.PassageIndex([], 3).spans("a b c") == [] and index.spans("İ one") == []
     long = "x " * 200_000 + "one two three"
-    assert index.spans(long)[0][2] == len(long)
+    assert index.spans(long)[0][3] == len(long)
+
+
+def test_passages_far_apart_are_apart():
+    item = " ".join(f"w{i}" for i in range(30))
+    index = L.PassageIndex([(1, item)], 13)
+    text = " ".join([*item.split()[:15], *["x"] * 1000, *item.split()[14:], *item.split()[:13]])
+    spans = index.spans(text)
+    # the last two passages adjoin and are one
+    assert [(p, n) for _, p, _, _, n in spans] == [(1, 3), (2, 5)] and spans[0][3] < 80 and spans[1][2] > 2000
+
+
+def test_more_words_than_codes(monkeypatch):
+    monkeypatch.setattr(L, "CODES", 6)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(8))) for i in range(5)]
+    index = L.PassageIndex(items, 3)
+    assert index.width == 2 and len(set(index.codes.values())) == 9
+    for _ in range(300):
+        text = " ".join(rng.choice([*words, "zz"]) for _ in range(rng.randint(0, 12)))
+        assert set(index.hits(text)) == {i for i, t in items if shares(text, t, 3)}
 
 
 # Problem 10
