@@ -17,7 +17,8 @@ precision.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,22 @@ GRAMMARS: tuple[tuple[str, str, re.Pattern], ...] = tuple(
     )
 )
 
+#: A grammar of numbers matches within runs of at least six digits with at most three other characters between two.
+_DIGIT_RUN = re.compile(r"\d(?:\D{0,3}\d)*")
+_LEAST_DIGITS = 6
+#: Room for a sign, bracket or letters at either end of such a run.
+_MARGIN = 8
+_WRITTEN_AT = re.compile(r"[\[({<][ \t\u00a0\u2009\u202f]?(?i:at|ät|arroba|chez|snabel-a)")
+#: Parts of which an address of that shape has one at least, in lower case.
+_STREET_PARTS = {
+    "fr": tuple(_STREET_FR.split("|")),
+    "es": tuple(w.lower().replace("\\", "") for w in _STREET_ES.split("|")),
+    "de": ("str.", "straße", "strasse", "weg", "gasse", "allee", "platz"),
+    "de_weak": ("ring", "ufer", "damm", "wall", "graben", "stieg"),
+    "sv": ("gatan", "vägen", "gränden", "stigen", "allén"),
+    "sv_torg": ("torg", "gata", "väg", "gränd"),
+}
+
 #: Words that announce what follows; the last ones before a candidate count.
 CUES = {
     "phone": "tel tél telefon teléfono telephone téléphone phone mobile mobil handy móvil fax ring call le".split(),
@@ -173,32 +190,65 @@ class NameFinder:
             yield start, end, "family_only"
 
 
+def _number_regions(text: str) -> list[tuple[int, int]]:
+    """Where numbers of six digits or more may be, with margins that end at the digits before and behind."""
+    runs = [m.span() for m in _DIGIT_RUN.finditer(text)]
+    regions = []
+    for i, (start, end) in enumerate(runs):
+        if end - start >= _LEAST_DIGITS and sum(c.isdigit() for c in text[start:end]) >= _LEAST_DIGITS:
+            before = runs[i - 1][1] if i else 0
+            behind = runs[i + 1][0] if i + 1 < len(runs) else len(text)
+            regions.append((max(before, start - _MARGIN), min(behind, end + _MARGIN)))
+    return regions
+
+
+def _matches(text: str) -> Iterator[tuple[str, str, re.Match]]:
+    """All matches of the grammars; each is tried only where a cheap test leaves room for it."""
+    has_digit = any(c.isdigit() for c in text)
+    regions = _number_regions(text) if has_digit else []
+    # letters that match others without case, but are not their lower case
+    lower = text.lower().replace("ſ", "s").replace("ı", "i") if has_digit else ""
+    for kind, shape, pattern in GRAMMARS:
+        if kind == "email":
+            if "@" in text or _WRITTEN_AT.search(text):
+                yield from ((kind, shape, m) for m in pattern.finditer(text))
+        elif kind == "address":
+            parts = _STREET_PARTS.get(shape)
+            if has_digit and (parts is None or any(p in lower for p in parts)):
+                yield from ((kind, shape, m) for m in pattern.finditer(text))
+        else:
+            for start, end in regions:
+                yield from ((kind, shape, m) for m in pattern.finditer(text, start, end))
+
+
+def _apart(ordered: Iterable[Candidate]) -> list[Candidate]:
+    """Greedily those that overlap none taken before."""
+    starts: list[int] = []
+    taken: list[Candidate] = []
+    for c in ordered:
+        i = bisect_left(starts, c.start)
+        before = i == 0 or taken[i - 1].end <= c.start
+        if before and (i == len(starts) or c.end <= starts[i]):
+            starts.insert(i, c.start)
+            taken.insert(i, c)
+    return taken
+
+
 def candidates(text: str, names: NameFinder) -> list[Candidate]:
     """All candidate spans in order; of one kind, the longer of two overlapping ones stays."""
     found: list[Candidate] = []
-    has_digit = any(c.isdigit() for c in text)
-    for kind, shape, pattern in GRAMMARS:
-        if kind != "email" and not has_digit:
+    for kind, shape, m in _matches(text):
+        if kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group()) <= 15:
             continue
-        if kind == "email" and "@" not in text and "[" not in text and "(" not in text and "{" not in text and "<" not in text:
-            continue
-        for m in pattern.finditer(text):
-            digits = sum(c.isdigit() for c in m.group())
-            if kind == "phone" and not 7 <= digits <= 15:
-                continue
-            found.append(Candidate(m.start(), m.end(), kind, shape, _cue(text, m.start())))
+        found.append(Candidate(m.start(), m.end(), kind, shape, _cue(text, m.start())))
     for start, end, shape in names.find(text):
         found.append(Candidate(start, end, "name", shape, _cue(text, start)))
-    found.sort(key=lambda c: (c.kind, c.start - c.end, c.start))
-    kept: list[Candidate] = []
     by_kind: dict[str, list[Candidate]] = {}
     for c in found:
-        own = by_kind.setdefault(c.kind, [])
-        if all(c.end <= o.start or c.start >= o.end for o in own):
-            own.append(c)
-            kept.append(c)
-    kept.sort(key=lambda c: (c.start, c.end))
-    return kept
+        by_kind.setdefault(c.kind, []).append(c)
+    kept = [c for kind in sorted(by_kind) for c in _apart(sorted(by_kind[kind], key=lambda c: (c.start - c.end, c.start)))]
+    # of equal spans the kinds come in order, and of one kind the shape listed first
+    return sorted(kept, key=lambda c: (c.start, c.end))
 
 
 def rule_accepts(c: Candidate, others: list[Candidate]) -> bool:
@@ -357,22 +407,26 @@ def decode(nodes: Nodes, belief: np.ndarray) -> list[list[Candidate]]:
             if share > 0.5 and kind_of[lo] == KINDS.index(c.kind) + 1:
                 taken.append((share, c))
         taken.sort(key=lambda x: (-x[0], x[1].start - x[1].end, x[1].start))
-        chosen: list[Candidate] = []
-        for _, c in taken:
-            if all(c.end <= o.start or c.start >= o.end for o in chosen):
-                chosen.append(c)
-        out.append(sorted(chosen, key=lambda c: c.start))
+        out.append(_apart(c for _, c in taken))
     return out
 
 
 def _gold(nodes: Nodes) -> np.ndarray:
     gold = np.zeros(len(nodes.doc), int)
     for spans in nodes.spans:
-        cands = [c for c, _, _ in spans]
-        for c, lo, hi in spans:
-            if rule_accepts(c, cands):
-                k = 1 + 2 * KINDS.index(c.kind)
-                gold[lo], gold[lo + 1 : hi] = k, k + 1
+        region: list[tuple[Candidate, int, int]] = []
+        reach = -1
+        for span in [*spans, None]:  # rules look at candidates of one region only: the others overlap none of them
+            if span is None or span[0].start >= reach:
+                cands = [c for c, _, _ in region]
+                for c, lo, hi in region:
+                    if rule_accepts(c, cands):
+                        k = 1 + 2 * KINDS.index(c.kind)
+                        gold[lo], gold[lo + 1 : hi] = k, k + 1
+                region = []
+            if span is not None:
+                region.append(span)
+                reach = max(reach, span[0].end)
     return gold
 
 
@@ -458,8 +512,26 @@ def _finder(names: DataFrame, part: str, text: str) -> NameFinder:
 
 
 def _sample(docs: DataFrame, train_docs: int) -> list[str]:
-    picked = docs.where("text is not null").orderBy(F.xxhash64("doc"), "doc").limit(train_docs).select("text")
-    return [r.text for r in picked.collect()]
+    """Texts of the ``train_docs`` documents with the least hashes.
+
+    A bound that a few more hashes than wanted stay below is taken from the number of documents, so that only ids
+    near the front are put in order, and texts only of those chosen are sent.
+    """
+    known = docs.where("text is not null").withColumn("h", F.xxhash64("doc"))
+    whole = known.count()
+    near = known
+    if whole > 2 * train_docs:
+        share = (train_docs + 6 * train_docs**0.5 + 50) / whole
+        near = known.where(F.col("h") < int(-(2**63) + min(1.0, share) * 2**64))
+    ids = near.select("h", "doc").orderBy("h", "doc").limit(train_docs)
+    picked = ids.collect()
+    if len(picked) < min(train_docs, whole):  # repeated ids share a hash: the bound may hold too few
+        near, picked = known, known.select("h", "doc").orderBy("h", "doc").limit(train_docs).collect()
+    if not picked:
+        return []
+    last = picked[-1].h
+    rows = near.where(F.col("h") <= last).orderBy("h", "doc").limit(train_docs).select("text").collect()
+    return [r.text for r in rows]
 
 
 def detect(model: Model, names: NameFinder, texts: list[str | None]) -> list[list[Candidate]]:

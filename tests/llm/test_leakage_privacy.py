@@ -159,3 +159,25 @@ def test_tables(spark):
     assert red[len(TRAINING) + 2].redacted == "tel. [PHONE] and [PHONE]" and red[len(TRAINING) + 2].replaced == 2
     assert V.find_personal(docs.limit(0), names).count() == 0
     assert V.find_personal(docs.limit(5), names.limit(0)).count() == V.find_personal(docs.limit(5), names.limit(0)).distinct().count()
+
+
+def test_cheap_tests_lose_no_match():
+    """The grammars over whole texts against those tried only where a number, a street or an @ may be."""
+    rng = random.Random(6)
+    parts = "+46 (0) 8-12 34 ( ) . / a@b.se [at] 12 rue C/ Calle Str. STRAßE strasſe weg 1A 19850102-1234 X-1234567L AB 12 34 56 C \n - x ring Gata 44".split(" ")
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randint(1, 25)))
+        every = sorted((k, s, m.span()) for k, s, p in V.GRAMMARS for m in p.finditer(text))
+        found = sorted((k, s, m.span()) for k, s, m in V._matches(text))
+        short = [(k, s, span) for k, s, span in every if (k, s, span) not in found]
+        # what is left out has too few digits for a phone number
+        assert set(found) <= set(every) and all(k == "phone" and sum(c.isdigit() for c in text[a:b]) < 7 for k, _, (a, b) in short), text
+
+
+def test_sample_is_that_of_the_least_hashes(spark):
+    df = spark.range(500).selectExpr("id as doc", "if(id % 7 = 0, null, concat('t', id)) as text")
+    from pyspark.sql import functions as F
+
+    want = [r.text for r in df.where("text is not null").orderBy(F.xxhash64("doc"), "doc").limit(40).collect()]
+    assert V._sample(df, 40) == want and len(V._sample(df, 4000)) == df.where("text is not null").count()
+    assert V._sample(df.limit(0), 10) == []
