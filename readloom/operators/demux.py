@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The map travels as a literal; a plate has at most a few thousand wells.
+UNDETERMINED = "NA"
+#: The map travels with the tasks; a plate has at most a few thousand wells.
 MAX_BARCODES = 5000
+#: Different observed barcodes whose wells a task remembers at once.
+MEMORY = 1 << 18
 
 
 def barcode_map(df: DataFrame, pos: str = "pos", barcode: str = "bc", well: str = "well") -> list[tuple[int, str, str]]:
@@ -22,20 +29,66 @@ def barcode_map(df: DataFrame, pos: str = "pos", barcode: str = "bc", well: str
     return [(place[b], b, wells[b]) for b in place]
 
 
+def _shortened(text: str, most: int) -> Iterator[str]:
+    """The text without any ``most`` letters or fewer: texts within ``most`` edits share one of these."""
+    for n in range(min(most, len(text)) + 1):
+        for gone in combinations(range(len(text)), n):
+            yield "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+class BarcodeIndex:
+    """Nearest barcode by its shortened forms; each observed barcode is looked for once and remembered."""
+
+    def __init__(self, barcodes: list[tuple[int, str, str]], distance: int) -> None:
+        self.distance = distance
+        self.known: dict[str, str | None] = {b: w for _, b, w in barcodes}
+        self.exact = dict(self.known)
+        self.forms: dict[str, list[tuple[int, str, str]]] = {}
+        for entry in barcodes:
+            for form in set(_shortened(entry[1], distance)):
+                self.forms.setdefault(form, []).append(entry)
+
+    def well(self, observed: str) -> str | None:
+        near = {e for form in set(_shortened(observed, self.distance)) for e in self.forms.get(form, ())}
+        found = ((_edits(observed, b), p, w) for p, b, w in near)
+        return min((f for f in found if f[0] <= self.distance), key=lambda f: f[:2], default=(0, 0, UNDETERMINED))[2]
+
+    def wells(self, observed: pd.Series) -> pd.Series:
+        known = self.known
+        if len(known) > MEMORY:
+            known = self.known = dict(self.exact)
+        for o in observed.unique():
+            if o is not None and o not in known:
+                known[o] = self.well(o)
+        return observed.map(known).astype(object)
+
+
 def nearest_well(observed: Column, barcodes: list[tuple[int, str, str]], distance: int = 1) -> Column:
     """Well of the nearest barcode within ``distance`` edits, the first in map order on ties; else 'NA'.
 
-    Exact hits are looked up first; only the others are compared with the whole map.
+    Only the observed letters leave the JVM, in Arrow batches; the work is done once per different value and task.
     """
     if not barcodes:
-        return F.lit("NA")
-    exact = F.create_map(*[F.lit(x) for _, b, w in barcodes for x in (b, w)])
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(b).alias("b"), F.lit(w).alias("w")) for p, b, w in barcodes])
-    near = F.filter(
-        F.transform(table, lambda m: F.struct(F.levenshtein(observed, m["b"], distance).alias("d"), m["p"].alias("p"), m["w"].alias("w"))),
-        lambda c: c["d"] >= 0,
-    )
-    return F.coalesce(F.try_element_at(exact, observed), F.array_min(near)["w"], F.lit("NA"))
+        return F.lit(UNDETERMINED)
+    index: list[BarcodeIndex] = []  # made in the worker
+
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if not index:
+            index.append(BarcodeIndex(barcodes, distance))
+        for batch in batches:
+            yield index[0].wells(batch)
+
+    return F.coalesce(F.pandas_udf(look_up, "string")(observed), F.lit(UNDETERMINED))
 
 
 def demultiplex(df: DataFrame, barcodes: list[tuple[int, str, str]], distance: int = 1, name: str = "well") -> DataFrame:

@@ -6,15 +6,17 @@ consecutive ordinals; one summary row per block hands over what crosses its bord
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.columns import read_line
-from readloom.session import checkpointed
+from readloom.session import checkpointed, shuffle_partitions
 
 BLOCK = 1 << 16
 
@@ -64,27 +66,59 @@ def exclude_duplicate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return kept.select(*by, "seq", *[F.col("_best")[c].alias(c) for c in others]).select(*df.columns)
 
 
-def exclude_degenerate(df: DataFrame, by: Sequence[str] = (), prefix: int = 16) -> DataFrame:
+def exclude_degenerate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Of sorted reads, drops those that another read (of the same ``by``) strictly extends.
 
-    An extension shares the first ``prefix`` letters, so only reads with a
-    common prefix meet; reads shorter than that are looked up among the
-    prefixes of the others.
+    In sorted order, a sequence that any other extends is extended by the one
+    that follows it.  Different sequences are dealt out by range, so no prefix
+    and no group of ``by``, however frequent, is in one task; a row at either
+    border of a task hands over to the next.
     """
     reads = df.where(F.col("seq").isNotNull())
-    seqs = reads.select(*by, "seq").distinct()
-    long = seqs.where(F.length("seq") >= prefix).withColumn("_p", F.left("seq", F.lit(prefix)))
-    follower = F.lead("seq").over(W.partitionBy(*by, "_p").orderBy("seq"))
-    extended = long.withColumn("_next", follower).where(F.startswith("_next", "seq")).select(*by, "seq")
-    lengths = sorted(r[0] for r in reads.where(F.length("seq") < prefix).select(F.length("seq")).distinct().collect())
-    if lengths:  # at most ``prefix`` numbers
-        heads = seqs.select(*by, F.length("seq").alias("_n"), F.left("seq", F.lit(prefix)).alias("_p")).distinct()
-        sizes = F.explode(F.array(*map(F.lit, lengths)))
-        heads = heads.select(*by, "_n", "_p", sizes.alias("_k")).where("_k < _n")
-        heads = heads.select(*by, F.left("_p", F.col("_k")).alias("seq")).distinct()
-        short = _join_nulls(seqs.where(F.length("seq") < prefix), heads, [*by, "seq"], "left_semi")
-        extended = extended.unionByName(short)
-    return _join_nulls(reads, extended, [*by, "seq"], "left_anti")
+    keys = [*by, "seq"]
+    spark = df.sparkSession
+    seqs = reads.select(*keys).distinct().repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    kinds = ", ".join(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keys)
+    marked = checkpointed(seqs.mapInArrow(_extended, f"{kinds}, _kind string, _part int"))
+    # the last row of a task and the first of the next that has any: two rows a task
+    border = marked.where("_kind <> 'extended'")
+    follower = F.first(F.struct(*keys)).over(W.orderBy("_part", "_kind").rowsBetween(1, 1))
+    last = border.withColumn("_next", follower).where("_kind = 'last'")
+    same = [F.col(c).eqNullSafe(F.col("_next")[c]) for c in by]
+    over = last.where(F.startswith(F.col("_next")["seq"], F.col("seq")))
+    for cond in same:
+        over = over.where(cond)
+    extended = marked.where("_kind = 'extended'").select(*keys).unionByName(over.select(*keys))
+    return _join_nulls(reads, extended, keys, "left_anti")
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted different sequences, those that the next one extends; besides the first and the last of the task."""
+    part, before = TaskContext.get().partitionId(), None
+
+    def marked(rows: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+        n = rows.num_rows
+        columns = [*rows.columns, pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, "_kind", "_part"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if before is None:
+            yield marked(batch.slice(0, 1), "first")
+        else:
+            batch = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
+        seqs = batch.column(batch.schema.get_field_index("seq")).to_pylist()
+        hit = [b.startswith(a) for a, b in zip(seqs, seqs[1:])]
+        for name in batch.schema.names:
+            if name != "seq" and any(hit):
+                values = batch.column(batch.schema.get_field_index(name)).to_pylist()
+                hit = [h and x == y for h, x, y in zip(hit, values, values[1:])]
+        if any(hit):
+            yield marked(batch.filter(pa.array([*hit, False])), "extended")
+        before = batch.slice(batch.num_rows - 1, 1)
+    if before is not None:
+        yield marked(before, "last")
 
 
 def _join_nulls(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -75,9 +75,14 @@ def tree_aggregate(
     chunk_rows: int = CHUNK_ROWS,
     fan_in: int = FAN_IN,
     levels: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Aggregates per key, merged through a tree of bounded fan-in.
 
+    The tree has as many rounds as the number of chunks asks for, so that a
+    node never merges more than about ``fan_in`` partial states of a key;
+    ``rows`` saves the count where it is known.
+
     Defined results: rows with a null key form the group of the null key;
     null values are ignored by every aggregate but ``count`` without a column;
     a group with only nulls gives null (0 for counts and distinct counts);
@@ -87,7 +92,9 @@ def tree_aggregate(
     """
     if fan_in < 2 or chunk_rows < 1:
         raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
-    levels = levels or tree_levels(shuffle_partitions(df.sparkSession), fan_in)
+    if levels is None:
+        chunks = -(-(df.count() if rows is None else rows) // chunk_rows)
+        levels = tree_levels(max(chunks, shuffle_partitions(df.sparkSession)), fan_in)
     key_cols = [f"k{i}" for i in range(len(keys))]
     row = F.monotonically_increasing_id()
     chunk = F.struct(F.shiftright(row, 33), F.floor(row.bitwiseAND((1 << 33) - 1) / chunk_rows))
@@ -124,7 +131,8 @@ def share_threshold(share: float | str, total: int) -> int:
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.05, **tree) -> DataFrame:
     """Non-null keys holding at least ``share`` of all rows, with their row counts."""
-    least = share_threshold(share, df.count())
+    total = df.count()
+    least = share_threshold(share, total)
     keys = df.select(F.col(f"`{key}`").cast("string").alias("key_value"))
-    counts = tree_aggregate(keys, ["key_value"], [Agg("rows", "count")], **tree)
+    counts = tree_aggregate(keys, ["key_value"], [Agg("rows", "count")], **{"rows": total, **tree})
     return counts.where(F.col("key_value").isNotNull() & (F.col("rows") >= least))

@@ -25,6 +25,7 @@ from readloom.operators.reads import (
     trim_5end,
     without_n,
 )
+from readloom.session import checkpointed
 
 
 def prepare_reads(
@@ -47,12 +48,16 @@ def prepare_reads(
     canonical = match_5end(tso)(raw)
     named = canonical.transform(annotate_index(umi_length + 1, umi_length + bc_length)).transform(annotate_umi(1, umi_length))
     s3 = demultiplex(named, barcodes, distance)
-    s4 = exclude_duplicate(s3, ["well"])
+    s4 = checkpointed(exclude_duplicate(s3, ["well"]))  # read by both results, and several times by step 7
     s6 = s4.transform(trim_3end_quality()).transform(trim_3end_primer())
     s7 = exclude_degenerate(s6, ["well"])
     s8 = trim_5end(tso + "+", minimum)(s7)
 
     size = F.length("seq")
+    # steps 1 to 3 leave sequences as they are: one pass counts them
+    fits = F.col("seq").rlike(f"^(?:{tso})")
+    marked = raw.transform(annotate_index(umi_length + 1, umi_length + bc_length)).transform(annotate_umi(1, umi_length))
+    marked = demultiplex(marked.select("seq", "acc"), barcodes, distance)
     # steps 4 to 6 only shorten or drop single reads, so one pass over step 4 counts all three; likewise 7 and 8
     best = pinned(s4, {"kept": F.when(good_length() >= 40, F.left("seq", good_length()))})
     best = pinned(best, {"cut": primer_cut(PRIMERS, F.col("kept"))})
@@ -60,8 +65,7 @@ def prepare_reads(
     primed, head_size = F.col("seq").rlike(f"^(?:{tso}+)"), F.length(F.regexp_extract("seq", f"^(?:{tso}+)", 0))
     rest = F.when(primed, size - head_size).otherwise(size)
     parts = [
-        _steps(raw.withColumn("well", F.lit(None).cast("string")), {1: size, 2: F.when(F.col("seq").rlike(f"^(?:{tso})"), size)}),
-        _steps(s3, {3: size}),
+        _steps(marked, {1: size, 2: F.when(fits, size), 3: F.when(fits, size)}, whole=(1, 2)),
         _steps(best, {4: size, 5: F.length("kept"), 6: F.when((F.col("cut") == 0) | (left >= 40), left)}),
         _steps(s7, {7: size, 8: F.when(~primed | (rest >= minimum), rest)}),
     ]
@@ -71,11 +75,20 @@ def prepare_reads(
     return s8, counts
 
 
-def _steps(df: DataFrame, lengths: dict[int, Column]) -> DataFrame:
-    """Histograms of several steps in one pass; a read that a step drops has a null length there."""
-    listed = F.array(*[F.struct(F.lit(n).alias("step"), c.cast("bigint").alias("length")) for n, c in lengths.items()])
-    rows = df.select("well", F.inline(listed)).where("length is not null")
-    return rows.groupBy("step", "well", "length").agg(F.count("*").alias("reads"))
+def _steps(df: DataFrame, lengths: dict[int, Column], whole: Sequence[int] = ()) -> DataFrame:
+    """Histograms of several steps in one pass; a read that a step drops has a null length there.
+
+    Steps in ``whole`` come before the wells are known.
+    """
+    none = F.lit(None).cast("string")
+    listed = F.array(
+        *[
+            F.struct(F.lit(n).alias("step"), (none if n in whole else F.col("well")).alias("in_well"), c.cast("bigint").alias("length"))
+            for n, c in lengths.items()
+        ]
+    )
+    rows = df.select(F.inline(listed)).where("length is not null")
+    return rows.groupBy("step", F.col("in_well").alias("well"), "length").agg(F.count("*").alias("reads"))
 
 
 def depth_curve(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 
@@ -18,6 +20,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -51,16 +54,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder named in ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where the session names none (tests on
-    one machine).
+    A folder of our own is used only where the session names none and runs on
+    one machine, as in tests; a cluster without a shared folder is an error,
+    as executors would not see each other's files.  Files of checkpoints that
+    are no longer referenced are removed by Spark where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as in
+    ``local_session``.
     """
     sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(shared)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="readloom-ckpt-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

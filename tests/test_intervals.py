@@ -7,7 +7,7 @@ from readloom.functions.columns import ieee_div
 from readloom.operators import counts as C
 from readloom.operators import intervals as I
 from readloom.operators import transcriptome as T
-from readloom.operators.demux import barcode_map, demultiplex
+from readloom.operators.demux import BarcodeIndex, _edits, barcode_map, demultiplex, nearest_well
 from readloom.operators.search import find_fragments
 from readloom.plans import read_queries
 
@@ -111,6 +111,19 @@ def test_demultiplex_ties_and_repeats(spark, reads_of):
     assert [r.well for r in got] == ["z", "y"]
 
 
+def test_nearest_well_equals_comparison_with_all(spark):
+    rng = random.Random(12)
+    bars = list({"".join(rng.choice("ACG") for _ in range(rng.randint(3, 5))): None for _ in range(25)})
+    codes = [(i, b, f"w{i}") for i, b in enumerate(bars)]
+    for distance in (0, 1, 2):
+        index = BarcodeIndex(codes, distance)
+        for _ in range(800):
+            o = "".join(rng.choice("ACGN") for _ in range(rng.randint(0, 6)))
+            best = min((_edits(o, b), p, w) for p, b, w in codes)
+            assert index.well(o) == (best[2] if best[0] <= distance else "NA")
+    assert nearest_well(F.lit("A"), []) is not None
+
+
 def gtf(spark, rows):
     out = []
     for i, (feature, left, right, strand, tx, no) in enumerate(rows):

@@ -112,14 +112,30 @@ def test_duplicates_in_order(reads_of):
     assert seqs(O.exclude_duplicate_in_order(reads_of("A", "A", "C", "A"))) == ["A", "C", "A"]
 
 
-@pytest.mark.parametrize("prefix", [1, 3, 16])
-def test_degenerate_equals_walk_over_sorted(reads_of, prefix):
-    rng = random.Random(prefix)
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_degenerate_equals_walk_over_sorted(spark, reads_of, partitions, monkeypatch):
+    monkeypatch.setattr(O, "shuffle_partitions", lambda spark: partitions)
+    rng = random.Random(partitions)
     data = ["".join(rng.choice("AC") for _ in range(rng.randint(1, 8))) for _ in range(250)]
     expected = nr_deg(sorted(data, reverse=True))
-    got = seqs(O.exclude_degenerate(reads_of(*data), prefix=prefix))
+    got = seqs(O.exclude_degenerate(reads_of(*data)))
     assert sorted(got) == sorted(expected)
-    assert seqs(O.exclude_degenerate(reads_of("ACG", "ACG"), prefix=prefix)) == ["ACG", "ACG"]
+    assert seqs(O.exclude_degenerate(reads_of("ACG", "ACG"))) == ["ACG", "ACG"]
+    chain = ["A" * i for i in range(1, 60)]  # every sequence extends the one before, over all tasks
+    assert seqs(O.exclude_degenerate(reads_of(*chain, "A" * 59, "C", ""))) == ["A" * 59, "A" * 59, "C"]
+
+
+def test_degenerate_over_small_batches(spark, reads_of, monkeypatch):
+    monkeypatch.setattr(O, "shuffle_partitions", lambda spark: 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(3)
+        rows = [(i, "@", "".join(rng.choice("AC") for _ in range(rng.randint(1, 6))), "+", "I", rng.choice([None, "x", "y"])) for i in range(120)]
+        df = spark.createDataFrame(rows, "ordinal bigint, acc string, seq string, sep string, qual string, well string")
+        got = {r.ordinal for r in O.exclude_degenerate(df, ["well"]).collect()}
+        assert got == {r[0] for r in rows if not any(o[5] == r[5] and o[2] != r[2] and o[2].startswith(r[2]) for o in rows)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_degenerate_within_null_group(spark):
