@@ -73,6 +73,11 @@ def trim_3end(sequence: str, minimum: int = 40) -> Step:
     return run
 
 
+def split_trimmed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trimmed, other) reads of ``trim_3end``, for two sinks."""
+    return df.where("is_trimmed").drop("is_trimmed"), df.where("not is_trimmed").drop("is_trimmed")
+
+
 def primer_fragments(primers: Sequence[str]) -> tuple[list[str], int]:
     """Primer prefixes to look for, longest first, and the length cut without looking (0: none).
 

@@ -183,6 +183,7 @@ for _name, _make, _cond in (
     ("match_5end_inverted", lambda: R.match_5end(_TSO, invert=True), f"not regexp_matches(seq, '^(?:{_TSO})')"),
     ("match_3end", lambda: R.match_3end("A[CG]|T+G"), r"regexp_matches(seq, '(?:A[CG]|T+G)\z')"),
     ("match_3end_inverted", lambda: R.match_3end("A[CG]|T+G", invert=True), r"not regexp_matches(seq, '(?:A[CG]|T+G)\z')"),
+    ("match_5end_whole_line", lambda: R.match_5end("[ACGTN]+\t[+]\t[!-~]*#", whole_line=True), "seq is not null and regexp_matches(concat_ws(chr(9), seq, sep, qual), '^(?:[ACGTN]+\t[+]\t[!-~]*#)')"),
     ("slice_reads", lambda: R.slice_reads(2, 7), "ordinal % 7 = 1"),
     ("thin_out", lambda: R.thin_out(3, 4), "ordinal % 7 < 3"),
     ("head_reads", lambda: R.head_reads(5000), "ordinal < 5000"),
@@ -197,14 +198,6 @@ def restore_fastq(spark, d):
     return R.restore_fastq(reads(spark, d).where("seq is not null and qual is not null"))
 
 
-@query("""with o as (select ordinal, unnest([acc, seq, sep, qual]) as v, unnest([0, 1, 2, 3]) as i from reads where seq is not null and qual is not null)
-select ordinal, max(v) filter (i = 0) as acc, max(v) filter (i = 1) as seq, max(v) filter (i = 2) as sep, max(v) filter (i = 3) as qual from o group by ordinal""")
-def convert_fastq(spark, d):
-    """Four lines per read joined to one again."""
-    lines = restore_fastq(spark, d).select("ordinal", F.split("value", "\n").alias("f"))
-    return lines.select("ordinal", *[F.col("f")[i].alias(c) for i, c in enumerate(("acc", "seq", "sep", "qual"))])
-
-
 # Reads: ordered -----------------------------------------------------------------------------------------------------
 
 _LINE = "concat_ws(chr(9), seq, sep, qual)"
@@ -215,6 +208,21 @@ def sort_reads(spark, d):
     return O.sorted_reads(reads(spark, d).where("seq is not null")).select("ordinal", "rank")
 
 
+@query(f"""select ordinal, row_number() over (order by {_LINE} desc, acc desc, ordinal) as rank from reads where seq is not null and ordinal % 3 <> 2""")
+def merge_sorted(spark, d):
+    """Two sorted inputs merged in order."""
+    ok = reads(spark, d).where("seq is not null")
+    parts = [O.sorted_reads(R.slice_reads(i, 3)(ok)).drop("rank") for i in (1, 2)]
+    return O.sorted_reads(parts[0].unionByName(parts[1])).select("ordinal", "rank")
+
+
+@query()
+def exclude_degenerate_in_order(spark, d):
+    """Reads as they come, per library and well."""
+    rows = table(spark, d, "reads").select("ordinal", "acc", "seq", "sep", "qual", "base", "well")
+    return O.exclude_degenerate_in_order(rows, ["base", "well"])
+
+
 _WHOLE = "concat_ws(chr(9), acc, seq, sep, qual)"
 
 
@@ -675,11 +683,32 @@ def coding_5end(spark, d):
     return T.merged_by_gene(_coding_5end(spark, d))
 
 
-@query(_SETS + """, m as (select split_part(name, '|', 1) as id, split_part(name, '|', 2) as gene, split_part(name, '|', 3) as tx,
+def _coding_whole(spark, d):
+    return T.region_sets(table(spark, d, "annotations")).where("region_set in ('coding_promoter', 'coding_exon')")
+
+
+@query(_SETS + """, e as (select distinct split_part(name, '|', 1) as name, chrom, strand, start_pos as s, end_pos as e from sets
+  where region_set in ('coding_promoter', 'coding_exon') and start_pos < end_pos),
+r as (select *, max(e) over (partition by name, chrom, strand order by s, e rows between unbounded preceding and 1 preceding) as reach from e),
+i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by name, chrom, strand order by s, e rows unbounded preceding) as g from r)
+select chrom, min(s) as start_pos, max(e) as end_pos, name, cast(0 as bigint) as score, strand from i group by name, chrom, strand, g""")
+def coding_whole(spark, d):
+    return T.merged_by_gene(_coding_whole(spark, d))
+
+
+_ACCESSIONS = """, m as (select split_part(name, '|', 1) as id, split_part(name, '|', 2) as gene, split_part(name, '|', 3) as tx,
     min(row(chrom, start_pos, split_part(name, '|', 2), split_part(name, '|', 3))) as met
-  from sets where region_set in ('coding_promoter', 'coding_5utr') group by all),
+  from sets where region_set in ('coding_promoter', 'coding_exon') group by all),
 n as (select id, gene, min(met) as met, gene || ':' || string_agg(tx, ';' order by met) as cell from m group by id, gene)
-select id as "ID", string_agg(cell, '|' order by met) as "ACCESSIONS" from n group by id""")
+select id as "ID", string_agg(cell, '|' order by met) as "ACCESSIONS" from n group by id"""
+
+
+@query(_SETS + _ACCESSIONS)
+def coding_whole_accessions(spark, d):
+    return T.gene_accessions(_coding_whole(spark, d))
+
+
+@query(_SETS + _ACCESSIONS.replace("'coding_exon'", "'coding_5utr'"))
 def gene_accessions(spark, d):
     return T.gene_accessions(_coding_5end(spark, d))
 

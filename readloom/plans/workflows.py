@@ -20,6 +20,13 @@ from readloom.sources import formats as S
 from readloom.sources.fastq import read_fastq, write_demultiplexed
 
 
+#: Name and description of the generated tracks.
+TRACKS = {
+    "coding_5end": ("Coding5end", "5' UTR and the proximal upstream of protein coding genes"),
+    "coding_whole": ("CodingWhole", "Exons and the proximal upstream of protein coding genes"),
+}
+
+
 def prepare_reads_files(spark: SparkSession, fastqs: str | Sequence[str], barcodes: str, out: str, **options) -> None:
     """``out``/reads: prepared FASTQ per well; ``out``/counts: length histograms per step and well."""
     codes = barcode_map(S.read_barcodes(spark, barcodes))
@@ -31,8 +38,7 @@ def prepare_reads_files(spark: SparkSession, fastqs: str | Sequence[str], barcod
 def count_alignments(spark: SparkSession, bams: str | Sequence[str], out: str) -> None:
     """Per-base counts as BED, a folder per sample."""
     counted = alignment_counts(spark, bams)
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("chrom", "start_pos", "end_pos", "name", "score", "strand")])
-    counted.select(F.col("name").alias("base"), line.alias("value")).write.partitionBy("base").option("compression", "gzip").text(out)
+    counted.select(F.col("name").alias("base"), S.bed_line().alias("value")).write.partitionBy("base").option("compression", "gzip").text(out)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +74,11 @@ def build_reference(spark: SparkSession, genome: str, spikein: str, ribosome: st
 def prepare_transcriptome(spark: SparkSession, gtf: str, index: str, out: str) -> None:
     """Region sets as BED in ``out``/NAME, and the accessions of the merged sets in ``out``/NAME_accessions."""
     sets = T.region_sets(S.read_gtf(spark, gtf)).unionByName(T.index_regions(S.read_index(spark, index)))
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("chrom", "start_pos", "end_pos", "name", "score", "strand")])
     ordered = sets.repartitionByRange("region_set", "chrom", "start_pos").sortWithinPartitions("region_set", "chrom", "start_pos")
-    ordered.select("region_set", line.alias("value")).write.partitionBy("region_set").option("compression", "gzip").text(f"{out}/sets")
+    ordered.select("region_set", S.bed_line().alias("value")).write.partitionBy("region_set").option("compression", "gzip").text(f"{out}/sets")
     for name, parts in (("coding_5end", ("coding_promoter", "coding_5utr")), ("coding_whole", ("coding_promoter", "coding_exon"))):
         bed = sets.where(F.col("region_set").isin(*parts))
-        S.write_bed(T.merged_by_gene(bed), f"{out}/{name}")
+        S.write_bed(T.merged_by_gene(bed), f"{out}/{name}", track=TRACKS[name])
         T.gene_accessions(bed).write.csv(f"{out}/{name}_accessions", header=True)
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from readloom.sources.fastq import _File, local_paths
+from readloom.sources.files import File, files_of, open_binary, system_of
 
 SCHEMA = "file string, chrom string, start_pos bigint, end_pos bigint, name string, score bigint, strand string, flag int, nh int"
 #: Fixed values of the format: operations that advance on the reference, and the sizes of tag values.
@@ -35,8 +40,9 @@ def _nh(data: bytes, at: int) -> int | None:
     return None
 
 
-def read_alignments(path: str) -> Iterator[tuple]:
-    with gzip.open(path, "rb") as f:  # blocks are gzip members
+def read_alignments(file: File) -> Iterator[tuple]:
+    path = file.path
+    with open_binary(file) as raw, gzip.open(raw, "rb") as f:  # blocks are gzip members
         if f.read(4) != b"BAM\1":
             raise ValueError(f"{path} is not a BAM file")
         (size,) = struct.unpack("<i", f.read(4))
@@ -60,19 +66,30 @@ def read_alignments(path: str) -> Iterator[tuple]:
             yield (path, refs[ref], pos, pos + span, name, mapq, "-" if flag & 16 else "+", flag, nh)
 
 
+class _File(InputPartition):
+    def __init__(self, no: int, file: File) -> None:
+        super().__init__(no)
+        self.file = file
+
+
 class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, files: list[File]) -> None:
+        self.files = files
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(self.paths)]
+        return [_File(i, f) for i, f in enumerate(self.files)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        return read_alignments(partition.path)
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        rows = read_alignments(partition.file)
+        fields = [c.split() for c in SCHEMA.split(", ")]
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+        while part := list(islice(rows, 10_000)):
+            columns = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*part), fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").load(path)``, one task per file."""
+    """``spark.read.format("bam").load(path)``, one task per file.  Several paths: option ``paths`` as a JSON list."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,11 +99,48 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _BamReader(local_paths(self.options["path"].split(",")))
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        return _BamReader(files_of(paths))
 
 
 def read_bam(spark: SparkSession, path: str | Sequence[str], unique: bool = False) -> DataFrame:
     """Mapped alignments; ``unique`` leaves out those whose NH tag tells of several hits."""
     spark.dataSource.register(BamSource)
-    df = spark.read.format("bam").load(",".join(local_paths(path)))
+    listed = json.dumps([path] if isinstance(path, str) else list(path))
+    df = spark.read.format("bam").option("paths", listed).load()
     return df.where(F.coalesce("nh", F.lit(1)) < 2) if unique else df
+
+
+def bam_bytes(references: Sequence[tuple[str, int]], alignments: Sequence[tuple[str, int, int, int, int, int]]) -> bytes:
+    """A compressed BAM file without bases; alignments are (name, reference number, position, length, flag, hits)."""
+    out = [b"BAM\1", struct.pack("<ii", 0, len(references))]
+    for name, length in references:
+        out += [struct.pack("<i", len(name) + 1), name.encode(), b"\0", struct.pack("<i", length)]
+    for name, ref, pos, length, flag, hits in alignments:
+        own = name.encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(own), 60, 0, 1, flag, 0, -1, -1, 0)
+        body += own + struct.pack("<I", length << 4) + b"NHi" + struct.pack("<i", hits)
+        out += [struct.pack("<i", len(body)), body]
+    return gzip.compress(b"".join(out))
+
+
+def write_bam(df: DataFrame, path: str) -> None:
+    """A BAM file per task from (name, chrom, start_pos, length, flag, hits), without bases, in a folder all executors share."""
+    system, at = system_of(path)
+    system.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("name", "chrom", "start_pos", "length", "flag", "hits")))]
+        chroms = sorted({r[1] for r in rows})
+        number = {c: i for i, c in enumerate(chroms)}
+        data = bam_bytes([(c, (1 << 31) - 1) for c in chroms], [(n, number[c], s, size, flag, hits) for n, c, s, size, flag, hits in rows])
+        name = f"part-{context.partitionId():05d}.bam"
+        store, folder = system_of(path)
+        # written under the name of the attempt, then renamed: a task that runs again leaves one file
+        with store.open_output_stream(f"{folder}/_{context.taskAttemptId()}-{name}") as f:
+            f.write(data)
+        store.move(f"{folder}/_{context.taskAttemptId()}-{name}", f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    df.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

@@ -2,64 +2,132 @@
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.operators.reads import restore_fastq
+from readloom.sources.files import File, files_of, open_binary
 
-SCHEMA = "file_no bigint, file string, n bigint, acc string, seq string, sep string, qual string"
+SCHEMA = "file_no bigint, chunk bigint, file string, n bigint, acc string, seq string, sep string, qual string"
+#: Bytes of a plain file that one task reads; compressed files are read whole.
+CHUNK = 64 << 20
+BATCH = 10_000
+#: Bytes looked back at for the line before a chunk; a separator line is shorter.
+_SEPARATOR = 1 << 16
 
 
-def local_paths(paths: str | Sequence[str]) -> list[str]:
-    """Files of a path, a pattern, a directory, or a list of such, in order."""
-    out: list[str] = []
-    for p in [paths] if isinstance(paths, str) else paths:
-        p = p.removeprefix("file://")
-        if os.path.isdir(p):
-            out += sorted(f for f in glob.glob(os.path.join(p, "*")) if os.path.isfile(f) and not os.path.basename(f).startswith(("_", ".")))
-        else:
-            out += sorted(glob.glob(p)) or [p]
-    return out
+@dataclass(frozen=True)
+class Chunk:
+    file_no: int
+    file: File
+    start: int
+    stop: int
+
+
+class _Task(InputPartition):
+    def __init__(self, chunks: list[Chunk]) -> None:
+        super().__init__((chunks[0].file_no, chunks[0].start))
+        self.chunks = chunks
 
 
-def open_text(path: str):
-    return gzip.open(path, "rt", newline="\n") if path.endswith(".gz") else open(path, newline="\n")
+def chunks_of(files: Sequence[File], size: int) -> list[Chunk]:
+    """Byte ranges of plain files, whole compressed ones."""
+    out = []
+    for i, f in enumerate(files):
+        cuts = range(0, max(f.size, 1), size) if not f.compressed else [0]
+        out += [Chunk(i, f, at, f.size if f.compressed else min(at + size, f.size)) for at in cuts]
+    return out
 
 
-class _File(InputPartition):
-    def __init__(self, no: int, path: str) -> None:
-        super().__init__(no)
-        self.no, self.path = no, path
+def _packed(chunks: list[Chunk], size: int) -> list[_Task]:
+    """Small files share a task."""
+    tasks: list[list[Chunk]] = []
+    room = 0
+    for c in chunks:
+        own = c.stop - c.start
+        if not tasks or own > room:
+            tasks.append([])
+            room = size
+        tasks[-1].append(c)
+        room -= own
+    return [_Task(t) for t in tasks]
+
+
+def _records(part: Chunk) -> Iterator[tuple[str, str, str, str]]:
+    """Reads that begin within the range; the last one may end behind it.
+
+    In valid FASTQ a line begins a read if it starts with @ and the next but one with +: two lines behind a quality
+    line is a sequence, which never does.
+    """
+    with open_binary(part.file) as f:
+        before = b""
+        if part.start:
+            look_back = max(0, part.start - 1 - _SEPARATOR)
+            f.seek(look_back)
+            before = f.read(part.start - 1 - look_back).rpartition(b"\n")[2]
+            before += f.readline()  # the rest of a line that began before
+        at = f.tell() if not part.file.compressed else 0
+        ahead: list[bytes] = []
+
+        def line() -> bytes:
+            return ahead.pop(0) if ahead else f.readline()
+
+        if part.start:
+            while at < part.stop:
+                while len(ahead) < 3 and (more := f.readline()):
+                    ahead.append(more)
+                if len(ahead) == 3 and ahead[0][:1] == b"@" and ahead[2][:1] == b"+":
+                    break
+                if not ahead:
+                    return
+                if len(ahead) < 3 and ahead[0][:1] == b"@" and before[:1] != b"+":
+                    break  # no quality line: the last read is broken
+                before = ahead.pop(0)
+                at += len(before)
+        while part.file.compressed or at < part.stop:
+            four = [line()]
+            if not four[0]:
+                return
+            four += [line() for _ in range(3)]
+            at += sum(map(len, four))
+            if not four[3]:
+                if four[0].strip() == b"" and not four[1]:
+                    return  # an empty line at the end
+                raise ValueError(f"{part.file.path}: the last read has fewer than four lines")
+            yield tuple(x.rstrip(b"\n").removesuffix(b"\r").decode() for x in four)
 
 
 class _FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, files: list[File], size: int) -> None:
+        self.files, self.size = files, size
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(self.paths)]
+        return _packed(chunks_of(self.files, self.size), self.size)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open_text(partition.path) as f:
-            lines = (line.rstrip("\n") for line in f)
-            for n, acc in enumerate(lines):
-                rest = [next(lines, None) for _ in range(3)]
-                if rest[2] is None:
-                    if acc == "" and rest[0] is None:
-                        return  # an empty line at the end
-                    raise ValueError(f"{partition.path}: the last read has fewer than four lines")
-                yield (partition.no, partition.path, n, acc, *rest)
+    def read(self, partition: _Task) -> Iterator[pa.RecordBatch]:
+        for chunk in partition.chunks:
+            records, n = _records(chunk), 0
+            while rows := list(islice(records, BATCH)):
+                size = len(rows)
+                place = [pa.array([x] * size) for x in (chunk.file_no, chunk.start, chunk.file.path)]
+                columns = [*place, pa.array(range(n, n + size), pa.int64()), *[pa.array(c, pa.string()) for c in zip(*rows)]]
+                n += size
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").load(path)``: four lines per read, plain or gzip, one task per file."""
+    """``spark.read.format("fastq").load(path)``: four lines per read, plain or gzip.
+
+    Plain files are split into byte ranges of ``chunk`` bytes.  Several paths go into the option ``paths`` as a JSON list.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -69,22 +137,27 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _FastqReader(local_paths(self.options["path"].split(",")))
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        return _FastqReader(files_of(paths), int(self.options.get("chunk", CHUNK)))
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """Global, gap-free line order over all files, from the place in the file and the sizes before it."""
-    sizes = df.groupBy("file_no").agg(F.count("*").alias("size"))  # a row per file
-    before = F.coalesce(F.sum("size").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("file_no", before.alias("before"))
-    joined = df.join(F.broadcast(offsets), "file_no")
+    """Global, gap-free line order over all files, from the place in the chunk and the sizes of those before it."""
+    sizes = df.groupBy("file_no", "chunk").agg(F.count("*").alias("size"))  # a row per chunk
+    order = W.orderBy("file_no", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("file_no", "chunk", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
+    joined = df.join(F.broadcast(offsets), ["file_no", "chunk"])
     return joined.select((F.col("before") + F.col("n")).alias("ordinal"), "acc", "seq", "sep", "qual", "file")
 
 
-def read_fastq(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(ordinal, acc, seq, sep, qual, file); gzip files cannot be split, so repartition before heavy work."""
+def read_fastq(spark: SparkSession, paths: str | Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """(ordinal, acc, seq, sep, qual, file), from local, shared or object stores.
+
+    Gzip files cannot be split, so repartition before heavy work.
+    """
     spark.dataSource.register(FastqSource)
-    return with_ordinal(spark.read.format("fastq").load(",".join(local_paths(paths))))
+    listed = json.dumps([paths] if isinstance(paths, str) else list(paths))
+    return with_ordinal(spark.read.format("fastq").option("paths", listed).option("chunk", str(chunk)).load())
 
 
 def read_one_line(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +167,9 @@ def read_one_line(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_one_line(df: DataFrame, path: str, compression: str = "gzip") -> None:
-    df.select(F.concat_ws("\t", "acc", "seq", "sep", "qual").alias("value")).write.option("compression", compression).text(path)
+    """Null fields become empty ones."""
+    fields = [F.coalesce(c, F.lit("")) for c in ("acc", "seq", "sep", "qual")]
+    df.select(F.concat_ws("\t", *fields).alias("value")).write.option("compression", compression).text(path)
 
 
 def write_fastq(df: DataFrame, path: str, compression: str = "gzip") -> None:

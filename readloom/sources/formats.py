@@ -6,14 +6,18 @@ import gzip
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fnmatch import fnmatch
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.columns import fold
+from readloom.operators.ordered import ranked
+from readloom.sources.files import File, files_of, open_binary, system_of
 
 BED = "chrom string, start_pos bigint, end_pos bigint, name string, score bigint, strand string"
 GTF = "chrom string, source string, feature string, left_pos bigint, right_pos bigint, score string, strand string, frame string, attrs string"
@@ -33,23 +37,54 @@ def write_fasta(df: DataFrame, path: str, width: int = 50, compression: str = "g
     df.select(F.concat(F.lit(">"), "id", F.lit("\n"), fold(F.col("seq"), width)).alias("value")).write.option("compression", compression).text(path)
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``name``: the rank of each line, from 1, by file name, split and place in it. Columns _file and _block are used up."""
+    return ranked(df, F.col("_file"), F.col("_block"), F.monotonically_increasing_id(), name=name).drop("_file", "_block")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """BED6, plain or gzip; track, browser and comment lines are skipped."""
+    """BED6, plain or gzip; track, browser and comment lines are skipped, a dot is a null."""
     lines = spark.read.text(path).where(~F.col("value").rlike("^(?:track|browser|#)") & (F.col("value") != ""))
     f = F.split("value", "\t", -1)
     cast = {"start_pos": "bigint", "end_pos": "bigint", "score": "bigint"}
     names = [c.split()[0] for c in BED.split(", ")]
-    return lines.select(*[F.get(f, F.lit(i)).cast(cast.get(n, "string")).alias(n) for i, n in enumerate(names)])
+    return lines.select(*[F.nullif(F.get(f, F.lit(i)), F.lit(".")).cast(cast.get(n, "string")).alias(n) for i, n in enumerate(names)])
+
+
+def bed_line() -> Column:
+    """The six columns as one line; a null is a dot."""
+    return F.concat_ws("\t", *[F.coalesce(F.col(c.split()[0]).cast("string"), F.lit(".")) for c in BED.split(", ")])
 
 
-def write_bed(df: DataFrame, path: str, compression: str = "gzip") -> None:
-    """BED6 in order of chromosome and position."""
-    cols = [F.col(c.split()[0]).cast("string") for c in BED.split(", ")]
-    df.orderBy("chrom", "start_pos", "end_pos", "name").select(F.concat_ws("\t", *cols).alias("value")).write.option("compression", compression).text(path)
+def write_bed(df: DataFrame, path: str, compression: str = "gzip", track: tuple[str, str] | None = None) -> None:
+    """BED6 in order of chromosome and position; ``track``: name and description of a line that every file begins with."""
+    lines = df.orderBy("chrom", "start_pos", "end_pos", "name")
+    line = bed_line()
+    if track is not None:
+        # fixed values of the format: full display, colours of the strands
+        head = f'track name={track[0]} description="{track[1]}" visibility=3 colorByStrand="38,139,210 203,75,22"'
+        begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # first row of a task
+        line = F.when(begins, F.concat_ws("\n", F.lit(head), line)).otherwise(line)
+    lines.select(line.alias("value")).write.option("compression", compression).text(path)
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=GTF, comment="#", quote="").withColumn("row_id", F.monotonically_increasing_id())
+    """The nine columns and ``row_id``, the place of the line in file order."""
+    rows = spark.read.csv(path, sep="\t", schema=GTF, comment="#", quote="")
+    names = [c.split()[0] for c in GTF.split(", ")]
+    return in_file_order(rows.select(*names, *_place()), "row_id")
+
+
+def write_gtf(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The nine columns as they are, nulls as empty fields; in order of ``row_id`` where there is one."""
+    names = [c.split()[0] for c in GTF.split(", ")]
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    ordered = df.orderBy("row_id") if "row_id" in df.columns else df
+    ordered.select(line.alias("value")).write.option("compression", compression).text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +93,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """CSV with a header; numbers are recognised, headers lowered on demand."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
+    """CSV with a header; numbers are recognised, headers lowered on demand; quoted cells may hold quotes and line ends."""
+    df = spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=True)
     return df.toDF(*[c.strip().lower() for c in df.columns]) if lower else df
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
     """Barcode map without header: (pos, bc, well) in file order."""
     df = spark.read.csv(path, schema="bc string, well string")
-    return df.select(F.monotonically_increasing_id().alias("pos"), "bc", "well")
+    return in_file_order(df.select("bc", "well", *_place()), "pos")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -110,29 +145,81 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _members(content: bytes, path: str) -> Iterator[tuple[str, bytes]]:
-    if path.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in z.namelist():
-                yield name, z.read(name)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            for m in t:
-                if m.isfile():
-                    yield m.name, t.extractfile(m).read()
+def _members(file: File, wanted: Callable[[str], bool]) -> Iterator[tuple[str, BinaryIO]]:
+    with open_binary(File(file.path, file.size), plain=True) as raw:
+        if file.path.endswith(".zip"):
+            with zipfile.ZipFile(raw) as z:
+                for name in z.namelist():
+                    if wanted(name):
+                        with z.open(name) as f:
+                            yield name, f
+        else:
+            with tarfile.open(fileobj=raw, mode="r|*") as t:  # one pass, nothing is kept
+                for m in t:
+                    if m.isfile() and wanted(m.name):
+                        yield m.name, t.extractfile(m)
+
+
+def _fasta(lines: Iterator[bytes]) -> Iterator[tuple[str, str]]:
+    """Records of a FASTA stream; one sequence is held at a time."""
+    head, parts = None, []
+    for line in lines:
+        text = line.decode()
+        if text.startswith(">"):
+            if head is not None:
+                yield head, "".join(parts)
+            head, parts = text[1:].rstrip("\r\n"), []
+        elif head is not None:
+            parts.append("".join(text.split()))
+    if head is not None:
+        yield head, "".join(parts)
 
 
 def read_archive(spark: SparkSession, path: str, include: str = "*", exclude: Sequence[str] = ()) -> DataFrame:
-    """(member, id, seq): FASTA records of the chosen members of tar, tar.gz or zip archives, one task per archive."""
+    """(member, id, seq): FASTA records of the chosen members of tar, tar.gz or zip archives.
+
+    One task per archive, which streams: it holds one sequence, never a member or the archive.
+    """
+
+    def wanted(name: str) -> bool:
+        return fnmatch(name, include) and not any(fnmatch(name, e) for e in exclude)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                for name, data in _members(content, p):
-                    if not fnmatch(name, include) or any(fnmatch(name, e) for e in exclude):
-                        continue
-                    text = (gzip.decompress(data) if name.endswith(".gz") else data).decode()
-                    rows = [r.partition("\n") for r in ("\n" + text).split("\n>")[1:]]
-                    yield pd.DataFrame({"member": name, "id": [r[0].rstrip("\r") for r in rows], "seq": ["".join(r[2].split()) for r in rows]}, dtype=object)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "member string, id string, seq string")
+            for p, size in zip(batch["path"], batch["size"]):
+                for name, stream in _members(File(p, size), wanted):
+                    lines = gzip.open(stream) if name.endswith(".gz") else stream
+                    rows, letters = [], 0
+                    for head, seq in _fasta(lines):
+                        rows.append((name, head, seq))
+                        letters += len(seq)
+                        if letters > 1 << 24:
+                            yield pd.DataFrame(rows, columns=["member", "id", "seq"], dtype=object)
+                            rows, letters = [], 0
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["member", "id", "seq"], dtype=object)
+
+    files = [(f.path, f.size) for f in files_of(path)]
+    listed = spark.createDataFrame(files, "path string, size bigint").repartition(max(1, len(files)))
+    return listed.mapInPandas(run, "member string, id string, seq string")
+
+
+def write_archive(df: DataFrame, path: str, member: str) -> None:
+    """A tar.gz archive per task with the records of (id, seq) as one FASTA member ``member``.fa."""
+    system, at = system_of(path)
+    system.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        name = f"{member}-{context.partitionId():05d}.tar.gz"
+        store, folder = system_of(path)
+        text = "".join(f">{i}\n{s}\n" for b in batches for i, s in zip(b["id"], b["seq"])).encode()
+        with store.open_output_stream(f"{folder}/_{context.taskAttemptId()}-{name}", compression=None) as f:
+            with tarfile.open(fileobj=f, mode="w|gz") as t:
+                info = tarfile.TarInfo(f"{member}.fa")
+                info.size = len(text)
+                t.addfile(info, io.BytesIO(text))
+        store.move(f"{folder}/_{context.taskAttemptId()}-{name}", f"{folder}/{name}")
+        yield pd.DataFrame({"n": [len(text)]})
+
+    df.select("id", "seq").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()

@@ -9,14 +9,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 from compare import SF_DIR, same
 
-from readloom.plans import problem_queries, read_queries
+from readloom.plans import problem_queries, read_queries, source_queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-QUERIES = {**read_queries.QUERIES, **problem_queries.QUERIES}
-SQL = {**read_queries.SQL, **problem_queries.SQL}
+QUERIES = {**read_queries.QUERIES, **source_queries.QUERIES, **problem_queries.QUERIES}
+SQL = {**read_queries.SQL, **source_queries.SQL, **problem_queries.SQL}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     got, expected = same(spark, QUERIES[name], SQL[name])
     assert got == expected

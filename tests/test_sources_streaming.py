@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import struct
 import tarfile
 import zipfile
@@ -11,6 +12,7 @@ from readloom.operators.counts import soft_filter, unique_alignments
 from readloom.operators.periods import merge_periods
 from readloom.plans.pipelines import alignment_counts, prepare_reads
 from readloom.sources import bam, fastq, formats
+from readloom.sources.files import files_of
 from readloom.streaming.reads import clean_stream, reads_per_window, stream_periods
 
 
@@ -28,6 +30,30 @@ def test_fastq_order_over_files(spark, tmp_path):
     assert [(r.ordinal, r.acc) for r in rows] == [(i, f"@{n} x") for i, n in enumerate("abcd")]
 
 
+def test_fastq_in_chunks(spark, tmp_path):
+    rng = random.Random(5)
+    for case in range(6):
+        reads = []
+        for i in range(rng.randint(1, 40)):
+            n = rng.randint(0, 12)
+            reads.append((f"@{i}" + rng.choice(["", " +x", " @y"]), "".join(rng.choice("ACGTN") for _ in range(n)), rng.choice(["+", f"+{i}"]), "".join(rng.choice("@+I#") for _ in range(n))))
+        end = rng.choice(["\n", "\r\n"])
+        path = tmp_path / f"{case}, x.fq"
+        path.write_bytes("".join(end.join(r) + end for r in reads).encode())
+        file = files_of(str(path))[0]
+        for size in (1, 2, 3, 7, 20, 64, 1000, 10**9):
+            assert [r for c in fastq.chunks_of([file], size) for r in fastq._records(c)] == reads
+        rows = fastq.read_fastq(spark, [str(path)], chunk=50).orderBy("ordinal").collect()
+        assert [(r.ordinal, r.acc, r.seq, r.sep, r.qual) for r in rows] == [(i, *r) for i, r in enumerate(reads)]
+    broken = tmp_path / "broken.fq"
+    broken.write_text("@a\nACGT\n+\nIIII\n@b\nAC\n")
+    for size in (5, 17, 1000):
+        with pytest.raises(ValueError, match="fewer than four lines"):
+            [r for c in fastq.chunks_of(files_of(str(broken)), size) for r in fastq._records(c)]
+    with pytest.raises(FileNotFoundError):
+        files_of(str(tmp_path / "none.fq"))
+
+
 def test_fastq_round_trip(spark, tmp_path, reads_of):
     df = reads_of("ACGT", "GG", "T")
     fastq.write_fastq(df.coalesce(1), str(tmp_path / "out"))
