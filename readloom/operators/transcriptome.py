@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.columns import first_token, gtf_attribute, gtf_number
 from readloom.operators.counts import RIBOSOME, SPIKE
 from readloom.operators.intervals import merge_intervals
+from readloom.operators.search import pieces
 
 UPSTREAM = 500
 #: Fixed values of the spike-in kit: the prefix of every sequence, and what one of them has in addition.
@@ -183,10 +184,23 @@ def gene_predictions(gtf: DataFrame) -> DataFrame:
     )
 
 
-def spliced_sequences(predictions: DataFrame, genome: DataFrame) -> DataFrame:
-    """Transcript sequences: exons cut from the genome and joined, on the strand of the transcript."""
-    joined = predictions.join(genome.select(F.col("id").alias("chrom"), "seq"), "chrom")
-    starts, ends = (F.transform(F.split(c, ","), lambda x: x.cast("int")) for c in ("exon_starts", "exon_ends"))
-    plus = F.array_join(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.substr("seq", x["s"] + 1, x["e"] - x["s"])), "")
+def spliced_sequences(predictions: DataFrame, genome: DataFrame, piece: int = 1 << 16) -> DataFrame:
+    """Transcript sequences: exons cut from the genome and joined, on the strand of the transcript.
+
+    Exons meet pieces of the genome of bounded length, never a chromosome.  Transcripts of chromosomes that the
+    genome does not have are left out; what lies beyond the end of a chromosome is empty.
+    """
+    at, core = F.col("at"), F.col("core")
+    chunks = pieces(genome.select("id", "seq"), piece).select(F.col("id").alias("chrom"), (at / piece).cast("bigint").alias("piece"), at, core, "seq")
+    known = predictions.join(genome.where("seq is not null").select(F.col("id").alias("chrom")).distinct(), "chrom", "left_semi")
+    starts, ends = (F.transform(F.split(c, ","), lambda x: x.cast("bigint")) for c in ("exon_starts", "exon_ends"))
+    exons = known.select("transcript_id", "chrom", "strand", F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("exon", "x"))
+    s, e = F.col("x.s"), F.col("x.e")
+    parts = exons.withColumn("piece", F.explode(F.sequence(F.floor(s / piece), F.floor(F.greatest(s, e - 1) / piece))))
+    begin = F.greatest(s - at, F.lit(0).cast("bigint"))
+    cut = F.substr("seq", (begin + 1).cast("int"), F.greatest(F.least(e - at, core) - begin, F.lit(0).cast("bigint")).cast("int"))
+    joined = parts.join(chunks, ["chrom", "piece"], "left").select("transcript_id", "strand", F.struct("exon", "piece", F.coalesce(cut, F.lit("")).alias("text")).alias("part"))
+    by_tx = joined.groupBy("transcript_id", "strand").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    plus = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     minus = F.translate(F.reverse(plus), "acgtACGT", "tgcaTGCA")
-    return joined.select(F.col("transcript_id").alias("id"), F.when(F.col("strand") == "-", minus).otherwise(plus).alias("seq"))
+    return by_tx.select(F.col("transcript_id").alias("id"), F.when(F.col("strand") == "-", minus).otherwise(plus).alias("seq"))

@@ -727,3 +727,44 @@ select tx as transcript_id, gene_name, chrom, strand, count(*) as exon_count, st
   string_agg(cast(e as varchar), ',' order by s, e) as exon_ends, any_value(atg) as atg from x left join atg using (tx) group by tx, gene_name, chrom, strand""")
 def gene_predictions(spark, d):
     return T.gene_predictions(table(spark, d, "annotations"))
+
+
+_CHROM = "'c' || cast(contig_id % 7 as varchar)"
+_GENOME = f"""chroms as (select {_CHROM} as chrom, string_agg(seq, '' order by contig_id) as seq from contigs where seq is not null group by 1)"""
+
+
+def joined_chromosomes(spark: SparkSession, d: str) -> DataFrame:
+    """Seven chromosomes, each made of a seventh of the contigs."""
+    rows = table(spark, d, "contigs").where("seq is not null")
+    parts = rows.groupBy(F.concat(F.lit("c"), (F.col("contig_id") % 7).cast("string")).alias("id")).agg(F.array_sort(F.collect_list(F.struct("contig_id", "seq"))).alias("p"))
+    return parts.select("id", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
+
+
+@query(f"""with {_GENOME}, tx as (select *, 'c' || cast(row_number() over (order by contig_id) % 7 as varchar) as chrom from contigs where seq is not null),
+e as (select contig_id, chrom, i, (contig_id * 37 + i * 1001) % 9000 as s, (contig_id * 37 + i * 1001) % 9000 + 20 + i * 13 as e, case when contig_id % 2 = 0 then '+' else '-' end as strand
+  from tx, (select unnest(range(0, 4)) as i)),
+j as (select contig_id, strand, string_agg(substr(c.seq, cast(s + 1 as bigint), cast(e - s as bigint)), '' order by i) as seq from e join chroms c using (chrom) group by contig_id, strand)
+select 't' || cast(contig_id as varchar) as id, case when strand = '-' then translate(reverse(seq), 'acgtACGT', 'tgcaTGCA') else seq end as seq from j""")
+def spliced_transcripts(spark, d):
+    """Four exons per transcript, cut from chromosomes in pieces of 1,000 letters."""
+    ranks = O.ranked(table(spark, d, "contigs").where("seq is not null").select("contig_id"), F.col("contig_id"))
+    start = lambda i: ((F.col("contig_id") * 37 + i * 1001) % 9000).cast("bigint")
+    tx = ranks.select(
+        F.concat(F.lit("t"), F.col("contig_id")).alias("transcript_id"),
+        F.concat(F.lit("c"), F.col("rank") % 7).alias("chrom"),
+        F.when(F.col("contig_id") % 2 == 0, "+").otherwise("-").alias("strand"),
+        F.concat_ws(",", *[start(i).cast("string") for i in range(4)]).alias("exon_starts"),
+        F.concat_ws(",", *[(start(i) + 20 + i * 13).cast("string") for i in range(4)]).alias("exon_ends"),
+    )
+    return T.spliced_sequences(tx, joined_chromosomes(spark, d), piece=1000)
+
+
+@query(f"""with {_GENOME}, p as (select chrom, seq, translate(reverse(seq), 'acgtACGT', 'tgcaTGCA') as rc, length(seq) as n from chroms),
+s as (select chrom, n, '+' as strand, i, regexp_extract(substr(seq, i + 1, 9), '^(?i:GGA[CT]{{1,3}}T)') as m from (select *, unnest(range(0, n)) as i from p)
+  union all
+  select chrom, n, '-', i, regexp_extract(substr(rc, i + 1, 9), '^(?i:GGA[CT]{{1,3}}T)') from (select *, unnest(range(0, n)) as i from p))
+select chrom, case when strand = '+' then i else n - i - length(m) end as start_pos,
+  case when strand = '+' then i + length(m) else n - i end as end_pos, 'tails' as name, cast(0 as bigint) as score, strand from s where m <> ''""")
+def find_on_chromosomes(spark, d):
+    """Chromosomes searched in overlapping windows."""
+    return find_fragments(joined_chromosomes(spark, d), "GGA[CT]{1,3}T", name="tails", window=5000)

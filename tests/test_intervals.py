@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from readloom.operators import counts as C
 from readloom.operators import intervals as I
 from readloom.operators import transcriptome as T
 from readloom.operators.demux import BarcodeIndex, _edits, barcode_map, demultiplex, nearest_well
-from readloom.operators.search import find_fragments
+from readloom.operators.search import find_fragments, longest_match
 from readloom.plans import read_queries
 
 BED = "chrom string, start_pos bigint, end_pos bigint, name string, score bigint, strand string"
@@ -96,6 +97,25 @@ def test_find_both_strands(spark):
     assert find_fragments(df, "tt", ignore_case=False).count() == 0
 
 
+@pytest.mark.parametrize("pattern", ["A[CG]{1,3}T", "AA", "C+A", "(?<=G)A", "^AC", "A|AC|ACG"])
+def test_find_in_windows_equals_whole(spark, pattern):
+    rng = random.Random(len(pattern))
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 1, 5, 30, 31, 200, 777)]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)] + [("n", None)], "id string, seq string")
+    look = re.compile(f"(?=({pattern}))", re.I)
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    expected = [(str(i), m.start(), m.end(1), "+") for i, s in enumerate(seqs) for m in look.finditer(s)]
+    expected += [(str(i), len(s) - m.end(1), len(s) - m.start(), "-") for i, s in enumerate(seqs) for m in look.finditer(turn(s))]
+    for window in (7, 30, 10_000):
+        got = [(r.chrom, r.start_pos, r.end_pos, r.strand) for r in find_fragments(df, pattern, window=window).collect()]
+        assert sorted(got) == sorted(expected)
+
+
+def test_longest_match():
+    assert longest_match("GA[CT]TC") == 5 and longest_match("A{2,4}|C") == 4
+    assert [longest_match(p) for p in ("A+", "(?=A)C", "A$", r"(A|\bC)", "(?:(?<!G)A)")] == [None] * 5
+
+
 def test_demultiplex(spark, reads_of):
     codes = barcode_map(spark.createDataFrame([(1, "CAAAGT", "A2")], "pos int, bc string, well string"))
     df = reads_of(*[(f"@r {b}", "A", "I") for b in ("CAAAGT", "CAAAGA", "ACAAGT", "GGGGGG")], (None, "A", "I"))
@@ -149,7 +169,11 @@ def test_promoters(spark):
 def test_spliced(spark):
     pred = T.gene_predictions(gtf(spark, [("exon", 1, 3, "-", "t", 1), ("exon", 6, 7, "-", "t", 2)]))
     genome = spark.createDataFrame([("chr1", "ACGTTGAC")], "id string, seq string")
-    assert T.spliced_sequences(pred, genome).first().seq == "TCCGT"
+    for piece in (1, 2, 3, 100):
+        assert T.spliced_sequences(pred, genome, piece).first().seq == "TCCGT"
+    beyond = T.gene_predictions(gtf(spark, [("exon", 7, 99, "+", "t", 1), ("exon", 200, 210, "+", "t", 2)]))
+    assert T.spliced_sequences(beyond, genome, 3).first().seq == "AC"
+    assert T.spliced_sequences(beyond, genome.withColumn("id", F.lit("other"))).count() == 0
 
 
 def test_reference_sequences(spark):
