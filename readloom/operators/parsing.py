@@ -11,6 +11,7 @@ import csv
 import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,9 +22,16 @@ csv.field_size_limit(sys.maxsize)
 FIELDS = ("acc", "seq", "sep", "qual")
 _SEQ = re.compile(r"[ACGTNacgtn]+\Z")
 _QUAL = re.compile(r"[!-~]*\Z")
-#: csv treats line ends outside quotes as the end of a record; here a record is one cell, so they are data.
-_HIDE = str.maketrans({"\n": "\ue00a", "\r": "\ue00d"})
-_SHOW = str.maketrans({"\ue00a": "\n", "\ue00d": "\r"})
+
+
+def _stand_ins(line: str) -> list[str]:
+    """Two characters that the record does not hold.
+
+    csv treats line ends outside quotes as the end of a record; here a record is one cell, so they are data, and
+    go through the reader under other names.
+    """
+    used = set(line)
+    return list(islice((c for c in map(chr, range(0xE000, sys.maxunicode)) if c not in used), 2))
 
 
 class BadRecord(ValueError):
@@ -62,27 +70,24 @@ def parse_record(line: str | None, dialect: str | None) -> list[str]:
     quoted = dialect == "quoted"
     if quoted and '"' in line:
         _assemble(line)
-    hidden = "\n" in line or "\r" in line
-    mangled = hidden and ("\ue00a" in line or "\ue00d" in line)
-    if mangled:  # the stand-ins themselves occur: rare enough for a plain split
-        fields = _split(line, quoted)
-    else:
-        try:
-            rows = list(
-                csv.reader(
-                    [line.translate(_HIDE) if hidden else line],
-                    delimiter="\t",
-                    quotechar='"' if quoted else None,
-                    quoting=csv.QUOTE_MINIMAL if quoted else csv.QUOTE_NONE,
-                    doublequote=True,
-                    strict=True,
-                )
+    stand_ins = _stand_ins(line) if "\n" in line or "\r" in line else None
+    text = line.replace("\n", stand_ins[0]).replace("\r", stand_ins[1]) if stand_ins else line
+    try:
+        rows = list(
+            csv.reader(
+                [text],
+                delimiter="\t",
+                quotechar='"' if quoted else None,
+                quoting=csv.QUOTE_MINIMAL if quoted else csv.QUOTE_NONE,
+                doublequote=True,
+                strict=True,
             )
-        except csv.Error:
-            raise BadRecord("quoting" if quoted else "columns") from None
-        fields = rows[0] if rows else []
-        if hidden:
-            fields = [f.translate(_SHOW) for f in fields]
+        )
+    except csv.Error:
+        raise BadRecord("quoting" if quoted else "columns") from None
+    fields = rows[0] if rows else []
+    if stand_ins:
+        fields = [f.replace(stand_ins[0], "\n").replace(stand_ins[1], "\r") for f in fields]
     if len(fields) != len(FIELDS):
         raise BadRecord("columns")
     if not _SEQ.match(fields[1]):
@@ -92,13 +97,6 @@ def parse_record(line: str | None, dialect: str | None) -> list[str]:
     return fields
 
 
-def _split(line: str, quoted: bool) -> list[str]:
-    if not quoted:
-        return line.split("\t")
-    fields = re.findall(r'(?:^|\t)("(?:[^"]+|"")*"|[^\t]*)', line)
-    return [f[1:-1].replace('""', '"') if f.startswith('"') else f for f in fields]
-
-
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = {"line_id": batch["line_id"], "reason": [], **{f: [] for f in FIELDS}}

@@ -190,6 +190,13 @@ def reason(line, dialect="plain"):
         return str(bad)
 
 
+def test_line_ends_in_records_that_hold_the_usual_stand_ins():
+    odd = "@r\ue000\n\ue001\r\ue002"
+    assert reason(f'"{odd}"\tACGT\t+\tIIII', "quoted") == [odd, "ACGT", "+", "IIII"]
+    assert reason(f"{odd}\tACGT\t+\tIIII") == [odd, "ACGT", "+", "IIII"]
+    assert reason(f'"{odd}\tACGT\t+\tIIII', "quoted") == "quoting"
+
+
 def test_record_reasons():
     good = ["@r", "ACGT", "+", "IIII"]
     assert reason("@r\tACGT\t+\tIIII") == good
