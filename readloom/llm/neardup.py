@@ -42,7 +42,8 @@ SHARE = 4096
 HOT_TEXTS = 10_000
 SEED = 0x9E3779B97F4A7C15
 
-_CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+#: Darts in a cell: Poisson with mean 1, as bounds on a 64-bit hash.
+_CDF = np.array([math.ceil(c * (1 << 53)) << 11 for c in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)]).tolist()], np.uint64)
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -104,6 +105,7 @@ def dart_signatures(
     stop = np.divide(darts, total, out=np.zeros(sets), where=filled)
     strips = np.ceil(weights).astype(np.int64)
     whole = bool((strips == weights).all())  # then no dart lies beyond its element's weight
+    single = whole and bool((strips <= 1).all())
     live = np.flatnonzero(strips > 0)
     while todo.any():
         live = live[todo[owner[live]]]
@@ -113,10 +115,16 @@ def dart_signatures(
         # one row per (element, weight strip, rank cell)
         e = np.repeat(live, cells)
         number = np.arange(len(e)) - np.repeat(np.cumsum(cells) - cells, cells)
-        strip, cell = number % strips[e], number // strips[e] + np.repeat(lo, cells)
-        place = (strip.astype(np.uint64) << np.uint64(32)) + cell.astype(np.uint64) + np.uint64(1)
+        if single:
+            strip, cell = None, number + np.repeat(lo, cells)
+            place = cell.astype(np.uint64) + np.uint64(1)
+        else:
+            strip, cell = number % strips[e], number // strips[e] + np.repeat(lo, cells)
+            place = (strip.astype(np.uint64) << np.uint64(32)) + cell.astype(np.uint64) + np.uint64(1)
         h = _mix(elements[e] + place * np.uint64(0xD1B54A32D192ED03))
-        count = np.searchsorted(_CDF, _unit(h), side="right")
+        count = (h >= _CDF[0]).astype(np.int64)
+        rest = np.flatnonzero(h >= _CDF[1])
+        count[rest] = np.searchsorted(_CDF, h[rest], side="right")
         d = np.repeat(np.arange(len(e)), count)
         nth = (np.arange(len(d)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         dart = _mix(h[d] + (nth + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7))
@@ -131,8 +139,10 @@ def dart_signatures(
         slot = own * k + (((dart & np.uint64(0xFFFFFF)) * np.uint64(k)) >> np.uint64(24)).astype(np.int64)
         fresh = empty[slot]  # a later window never beats an earlier one
         slot, rank, dart = slot[fresh], rank[fresh], dart[fresh]
-        order = np.argsort(-rank, kind="stable")
-        best[slot[order]] = dart[order]  # the least rank is written last
+        least = np.full(sets * k, np.inf)
+        np.minimum.at(least, slot, rank)
+        first = rank == least[slot]
+        best[slot[first]] = dart[first]
         empty[slot] = False
         todo &= empty.reshape(sets, k).any(axis=1)
         start, stop = np.where(todo, stop, start), np.where(todo, 2 * stop, stop)
