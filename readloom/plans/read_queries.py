@@ -104,6 +104,15 @@ def sum_counts(spark, d):
     return C.sum_histograms(*[C.length_histogram(R.slice_reads(i, 2)(all_reads)) for i in (1, 2)])
 
 
+@query("select h.length, h.reads, n as rows from (" + _HIST.format("reads") + ") h, (select count(*) as n from reads) t")
+def tee_histogram(spark, d):
+    """The histogram on the side, and how many rows went on."""
+    kept, histogram = C.with_histogram(reads(spark, d))
+    rows = kept.count()
+    out = histogram.withColumn("rows", F.lit(rows).cast("bigint"))
+    return out
+
+
 _PRIMED = f"""with m as (select seq, regexp_extract(seq, '^(?:{_TSO}+)') as head from reads where regexp_matches(seq, '^(?:{_TSO})')),
 t as (select substr(seq, length(head) + 1) as seq from m) select length(seq) as length, count(*) as reads from t where length(seq) >= 24 group by 1"""
 

@@ -18,6 +18,7 @@ from readloom.operators.demux import barcode_map
 from readloom.plans.pipelines import alignment_counts, prepare_reads, reference_sequences
 from readloom.sources import formats as S
 from readloom.sources.fastq import read_fastq, write_demultiplexed
+from readloom.sources.fetch import fetched
 
 
 #: Name and description of the generated tracks.
@@ -27,11 +28,11 @@ TRACKS = {
 }
 
 
-def prepare_reads_files(spark: SparkSession, fastqs: str | Sequence[str], barcodes: str, out: str, **options) -> None:
-    """``out``/reads: prepared FASTQ per well; ``out``/counts: length histograms per step and well."""
+def prepare_reads_files(spark: SparkSession, fastqs: str | Sequence[str], barcodes: str, out: str, base: str | None = None, **options) -> None:
+    """``out``/reads: prepared FASTQ per well, as files of library ``base`` if it is given; ``out``/counts: length histograms per step and well."""
     codes = barcode_map(S.read_barcodes(spark, barcodes))
     reads, counts = prepare_reads(read_fastq(spark, fastqs), codes, **options)
-    write_demultiplexed(reads, f"{out}/reads")
+    write_demultiplexed(reads, f"{out}/reads", base=base)
     counts.write.csv(f"{out}/counts", header=True)
 
 
@@ -50,17 +51,26 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*cols, F.col("base").cast("string").alias("base"))
 
 
-def prepare_genome(spark: SparkSession, archive: str, out: str) -> None:
-    """Main chromosomes of an archive of FASTA files, without members and names that have an underscore."""
+def prepare_genome(spark: SparkSession, archive: str, out: str, *, url: str | None = None, download: str = "no") -> None:
+    """Main chromosomes of an archive of FASTA files, without members and names that have an underscore.
+
+    Here and below ``download`` is yes (copy ``url`` to the input first), no, or only (copy and stop).
+    """
+    if not fetched(url, archive, download):
+        return
     seqs = S.read_archive(spark, archive, exclude=["*_*"]).select("id", "seq")
     S.write_fasta(T.normalised_fasta(seqs), out)
 
 
-def prepare_spikein(spark: SparkSession, archive: str, out: str, member: str = "*.fa") -> None:
+def prepare_spikein(spark: SparkSession, archive: str, out: str, member: str = "*.fa", *, url: str | None = None, download: str = "no") -> None:
+    if not fetched(url, archive, download):
+        return
     S.write_fasta(T.spike_sequences(T.normalised_fasta(S.read_archive(spark, archive, include=member).select("id", "seq"))), out)
 
 
-def prepare_ribosome(spark: SparkSession, fasta: str, out: str, genome: str = "hg38") -> None:
+def prepare_ribosome(spark: SparkSession, fasta: str, out: str, genome: str = "hg38", *, url: str | None = None, download: str = "no") -> None:
+    if not fetched(url, fasta, download):
+        return
     S.write_fasta(T.ribosome_sequences(S.read_fasta(spark, fasta), genome), out)
 
 
@@ -71,8 +81,10 @@ def build_reference(spark: SparkSession, genome: str, spikein: str, ribosome: st
     T.sequence_index(whole).write.csv(f"{out}/index", sep="\t")
 
 
-def prepare_transcriptome(spark: SparkSession, gtf: str, index: str, out: str) -> None:
+def prepare_transcriptome(spark: SparkSession, gtf: str, index: str, out: str, *, url: str | None = None, download: str = "no") -> None:
     """Region sets as BED in ``out``/NAME, and the accessions of the merged sets in ``out``/NAME_accessions."""
+    if not fetched(url, gtf, download):
+        return
     sets = T.region_sets(S.read_gtf(spark, gtf)).unionByName(T.index_regions(S.read_index(spark, index)))
     ordered = sets.repartitionByRange("region_set", "chrom", "start_pos").sortWithinPartitions("region_set", "chrom", "start_pos")
     ordered.select("region_set", S.bed_line().alias("value")).write.partitionBy("region_set").option("compression", "gzip").text(f"{out}/sets")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.operators.reads import restore_fastq
-from readloom.sources.files import File, files_of, open_binary
+from readloom.sources.files import File, files_of, open_binary, system_of
 
 SCHEMA = "file_no bigint, chunk bigint, file string, n bigint, acc string, seq string, sep string, qual string"
 #: Bytes of a plain file that one task reads; compressed files are read whole.
@@ -176,7 +178,24 @@ def write_fastq(df: DataFrame, path: str, compression: str = "gzip") -> None:
     restore_fastq(df).select("value").write.option("compression", compression).text(path)
 
 
-def write_demultiplexed(df: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A folder per well. Hot wells are spread over several files: no well is gathered in one task."""
+def write_demultiplexed(df: DataFrame, path: str, compression: str = "gzip", base: str | None = None) -> None:
+    """A folder per well. Hot wells are spread over several files: no well is gathered in one task.
+
+    With ``base`` the files are renamed to BASE.WELL.fq.gz, or BASE.WELL.N.fq.gz where a well has several; joined in
+    order of N they are one FASTQ file.
+    """
     lines = df.select("well", F.concat_ws("\n", "acc", "seq", "sep", "qual").alias("value"))
     lines.write.partitionBy("well").option("compression", compression).text(path)
+    if base is None:
+        return
+    system, top = system_of(path)
+    parts: dict[str, list[str]] = {}
+    for file in files_of(path):
+        at = system_of(file.path)[1]
+        parts.setdefault(os.path.dirname(at), []).append(at)
+    for folder, files in parts.items():
+        well = unquote(os.path.basename(folder).removeprefix("well="))
+        for n, at in enumerate(files, 1):
+            name = f"{base}.{well}.fq" if len(files) == 1 else f"{base}.{well}.{n}.fq"
+            system.move(at, f"{top}/{name}{'.gz' if at.endswith('.gz') else ''}")
+        system.delete_dir(folder)

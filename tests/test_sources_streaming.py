@@ -12,6 +12,7 @@ from readloom.operators.counts import soft_filter, unique_alignments
 from readloom.operators.periods import merge_periods
 from readloom.plans.pipelines import alignment_counts, prepare_reads
 from readloom.sources import bam, fastq, formats
+from readloom.sources.fetch import fetched
 from readloom.sources.files import files_of
 from readloom.streaming.reads import clean_stream, reads_per_window, stream_periods
 
@@ -65,6 +66,27 @@ def test_fastq_round_trip(spark, tmp_path, reads_of):
     assert sorted(p.name for p in (tmp_path / "wells").iterdir() if p.is_dir()) == ["well=A1", "well=NA"]
 
 
+def test_files_per_well(spark, tmp_path, reads_of):
+    df = reads_of("ACGT", "GG", "T", "TT").withColumn("well", F.when(F.col("seq") == "T", "NA").when(F.col("seq") == "GG", "B:2").otherwise("A1"))
+    fastq.write_demultiplexed(df.repartition(3, "ordinal"), str(tmp_path / "out"), base="Lib1")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(("_", ".")))
+    assert {n.split(".")[1] for n in names} == {"A1", "B:2", "NA"} and all(n.startswith("Lib1.") and n.endswith(".fq.gz") for n in names)
+    assert sorted(r.seq for r in fastq.read_fastq(spark, str(tmp_path / "out" / "Lib1.A1*")).collect()) == ["ACGT", "TT"]
+
+
+def test_fetch(tmp_path):
+    (tmp_path / "a.txt").write_text("content")
+    url = (tmp_path / "a.txt").as_uri()
+    for mode, go_on in (("yes", True), ("only", False)):
+        path = tmp_path / mode / "b.txt"
+        assert fetched(url, str(path), mode) is go_on and path.read_text() == "content"
+        assert [p.name for p in path.parent.iterdir()] == ["b.txt"]
+    assert fetched(None, str(tmp_path / "none"), "no") and not (tmp_path / "none").exists()
+    for bad in (("yes", None), ("maybe", url)):
+        with pytest.raises(ValueError):
+            fetched(bad[1], str(tmp_path / "c"), bad[0])
+
+
 def test_broken_fastq(spark, tmp_path):
     (tmp_path / "x.fq").write_text("@a\nAC\n+\n")
     with pytest.raises(Exception, match="fewer than four lines"):
