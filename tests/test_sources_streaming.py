@@ -153,6 +153,25 @@ def test_bam(spark, tmp_path):
     assert [(r.chrom, r.start_pos, r.end_pos, r.name, r.score, r.strand) for r in counted] == [("chr1", 10, 11, "x", 1, "+")]
 
 
+def test_bam_in_ranges(spark, tmp_path):
+    rng = random.Random(8)
+    refs = [(f"chr{i}", 10_000) for i in range(5)]
+    for case, n in enumerate((0, 1, 40, 700)):
+        rows = [(f"read{i}/" + "x" * rng.randint(0, 60), rng.randrange(5), rng.randrange(9000), rng.randint(1, 300), rng.choice([0, 4, 16]), rng.randint(1, 9)) for i in range(n)]
+        data = gzip.decompress(bam.bam_bytes(refs, rows))
+        path = tmp_path / f"{case}.bam"
+        for block in (100, 900, 60_000):
+            path.write_bytes(bam.blocks_of(data, block))
+            file = files_of(str(path))[0]
+            whole = list(bam.read_alignments(file))
+            assert [(r[4], r[2], r[3], r[8]) for r in whole] == [(a, p, p + size, h) for a, _, p, size, flag, h in rows if flag != 4]
+            for size in (37, 500, 5000, 10**7):
+                if file.size // size < 800:
+                    parts = [r for at in range(0, file.size, size) for r in bam._split_alignments(file, at, min(at + size, file.size))]
+                    assert parts == whole
+    assert bam.read_bam(spark, str(path), chunk=2000).count() == len(whole)
+
+
 def test_archives(spark, tmp_path):
     with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as t:
         for name, text in (("chr1.fa", ">chr1\nAC\nGT\n"), ("chr1_random.fa", ">chr1_random\nA\n")):
