@@ -768,10 +768,14 @@ def spliced_transcripts(spark, d):
     return T.spliced_sequences(tx, joined_chromosomes(spark, d), piece=1000)
 
 
-@query(f"""with {_GENOME}, p as (select chrom, seq, translate(reverse(seq), 'acgtACGT', 'tgcaTGCA') as rc, length(seq) as n from chroms),
-s as (select chrom, n, '+' as strand, i, regexp_extract(substr(seq, i + 1, 9), '^(?i:GGA[CT]{{1,3}}T)') as m from (select *, unnest(range(0, n)) as i from p)
-  union all
-  select chrom, n, '-', i, regexp_extract(substr(rc, i + 1, 9), '^(?i:GGA[CT]{{1,3}}T)') from (select *, unnest(range(0, n)) as i from p))
+_SEVEN = "concat(c, " + ", ".join(f"lead(c, {k}) over w" for k in range(1, 7)) + ")"
+
+
+@query(f"""with {_GENOME}, p as (
+  select chrom, seq, '+' as strand, length(seq) as n from chroms
+  union all select chrom, translate(reverse(seq), 'acgtACGT', 'tgcaTGCA'), '-', length(seq) from chroms),
+letters as (select chrom, strand, n, unnest(string_split(seq, '')) as c, unnest(range(0, n)) as i from p),
+s as (select chrom, strand, n, i, regexp_extract({_SEVEN}, '^(?i:GGA[CT]{{1,3}}T)') as m from letters window w as (partition by chrom, strand order by i))
 select chrom, case when strand = '+' then i else n - i - length(m) end as start_pos,
   case when strand = '+' then i + length(m) else n - i end as end_pos, 'tails' as name, cast(0 as bigint) as score, strand from s where m <> ''""")
 def find_on_chromosomes(spark, d):
