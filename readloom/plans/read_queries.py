@@ -662,11 +662,12 @@ k as (select *, case when atg is null then 'other' else 'coding' end as c from p
 sets as (
   select c || case feature when 'transcript' then '_gene' else '_exon' end as region_set, chrom, left_pos - 1 as start_pos, right_pos as end_pos, name, strand from k
   union all
-  select 'coding_5utr', chrom, case when strand = '-' and left_pos <= atg then atg else left_pos - 1 end,
-    case when strand = '+' and right_pos >= atg then atg - 1 else right_pos end, name, strand from k
-  where feature = 'exon' and c = 'coding' and ((strand = '+' and left_pos < atg) or (strand = '-' and atg < right_pos))
-    and not (strand = '+' and right_pos >= atg and not (left_pos < atg and atg <= right_pos))
-    and not (strand = '-' and left_pos <= atg and not (left_pos <= atg and atg < right_pos))
+  select 'coding_5utr', chrom, s, e, name, strand from (
+    select *, case when (strand = '+' and right_pos < atg) or (strand = '-' and atg < left_pos) then left_pos - 1
+        when strand = '+' and left_pos < atg and atg <= right_pos then left_pos - 1 when strand = '-' and left_pos <= atg and atg < right_pos then atg end as s,
+      case when (strand = '+' and right_pos < atg) or (strand = '-' and atg < left_pos) then right_pos
+        when strand = '+' and left_pos < atg and atg <= right_pos then atg - 1 when strand = '-' and left_pos <= atg and atg < right_pos then right_pos end as e
+    from k where feature = 'exon' and c = 'coding') where s is not null
   union all
   select c || '_promoter', chrom, case when strand = '+' then greatest(left_pos - 500, 0) else right_pos end,
     case when strand = '+' then left_pos - 1 else right_pos + 499 end, name, case when strand = '+' then '+' else '-' end from k where feature = 'exon' and no = 1
