@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.operators import counts as C
 from readloom.operators import reads as R
 from readloom.operators import transcriptome as T
+from readloom.operators.variants import aligner_variants
 from readloom.plans.pipelines import alignment_counts
 from readloom.sources import bam, fastq, formats
 from readloom.session import scratch, spread, table
@@ -144,6 +145,28 @@ def alignments_per_base(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("chrom", "start_pos", "end_pos", "strand").agg(F.sum("score").alias("score"))
 
 
+_OBSERVED = """case cast(hit_id % 6 as int) when 0 then 'A/C' when 1 then 'A/G/T' when 2 then '-/ACG' when 3 then '-/AC/T' when 4 then '-/A' else 'A/N' end"""
+_CLASS = """case cast(hit_id % 6 as int) when 0 then 'single' when 1 then 'single' when 2 then 'insertion' when 3 then 'insertion' when 4 then 'deletion' else 'single' end"""
+_SNP = f"""select hit_id, chrom, start_pos, case when hit_id % 6 in (2, 3) then start_pos else start_pos + 1 end as end_pos, strand, {_OBSERVED} as observed, {_CLASS} as class from region_hits"""
+
+
+@query(f"""with s as ({_SNP}),
+a as (select *, list_filter(list_transform(string_split(observed, '/'), lambda x: case when strand = '-' then translate(x, 'ACGT', 'TGCA') else x end), lambda x: regexp_full_match(x, '[ACGT]+')) as p from s),
+v as (select *, case when class = 'deletion' then ['1'] when class = 'insertion' then list_transform(p, lambda x: case when strand = '-' then reverse(x) else x end) else list_filter(p, lambda x: x <> 'A') end as vals from a),
+e as (select *, unnest(range(1, len(vals) + 1)) as i from v)
+select case when len(vals) > 1 then 'rs' || hit_id || '.' || i else 'rs' || hit_id end as id, class as type, chrom, start_pos, vals[i] as value from e""")
+def variation_files(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as polymorphisms, written as a table of the known ones and read as variants for an aligner."""
+    out = scratch(spark)
+    table(spark, d, "region_hits").createOrReplaceTempView("region_hits_as_snps")
+    rows = spark.sql(_SNP.replace("from region_hits", "from region_hits_as_snps"))
+    zero, empty = F.lit("0"), F.lit("")
+    line = [zero, F.col("chrom"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.concat(F.lit("rs"), F.col("hit_id")), zero, F.col("strand")]
+    line += [F.lit("A"), F.lit("A"), F.col("observed"), F.lit("genomic"), F.col("class"), empty]
+    rows.select(F.concat_ws("\t", *line).alias("value")).write.text(out)
+    return aligner_variants(formats.read_snps(spark, out))
+
+
 @query("select ordinal, acc, left(seq, length(seq) - 2) as seq from reads where ends_with(seq, 'AG') and length(seq) - 2 >= 40")
 def trimmed_apart(spark: SparkSession, d: str) -> DataFrame:
     """Reads that were trimmed go to a file of their own."""

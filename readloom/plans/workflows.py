@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from readloom.operators import counts as C
 from readloom.operators import transcriptome as T
 from readloom.operators.demux import barcode_map
+from readloom.operators.variants import aligner_variants, own_haplotypes
 from readloom.plans.pipelines import alignment_counts, prepare_reads, reference_sequences
 from readloom.sources import formats as S
 from readloom.sources.fastq import read_fastq, write_demultiplexed
@@ -81,6 +82,15 @@ def build_reference(spark: SparkSession, genome: str, spikein: str, ribosome: st
     T.sequence_index(whole).write.csv(f"{out}/index", sep="\t")
 
 
+def prepare_variation(spark: SparkSession, snps: str, out: str, *, url: str | None = None, download: str = "no") -> None:
+    """``out``/snp and ``out``/haplotype for an aligner, tab-separated, in order of chromosome and position."""
+    if not fetched(url, snps, download):
+        return
+    variants = aligner_variants(S.read_snps(spark, snps))
+    variants.orderBy("chrom", "start_pos", "id").write.csv(f"{out}/snp", sep="\t")
+    own_haplotypes(variants).orderBy("chrom", "left_pos", "id").write.csv(f"{out}/haplotype", sep="\t")
+
+
 def prepare_transcriptome(spark: SparkSession, gtf: str, index: str, out: str, *, url: str | None = None, download: str = "no") -> None:
     """Region sets as BED in ``out``/NAME, and the accessions of the merged sets in ``out``/NAME_accessions."""
     if not fetched(url, gtf, download):

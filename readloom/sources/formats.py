@@ -145,6 +145,17 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Places in a line of the table of known polymorphisms.
+_SNP_FIELDS = {"chrom": 1, "start_pos": 2, "end_pos": 3, "name": 4, "strand": 6, "reference": 8, "observed": 9, "class": 11}
+
+
+def read_snps(spark: SparkSession, path: str) -> DataFrame:
+    """The columns that ``aligner_variants`` needs, from tab-separated lines."""
+    f = F.split("value", "\t", -1)
+    kinds = {"start_pos": "bigint", "end_pos": "bigint"}
+    return spark.read.text(path).select(*[F.get(f, F.lit(i)).cast(kinds.get(n, "string")).alias(n) for n, i in _SNP_FIELDS.items()])
+
+
 def _members(file: File, wanted: Callable[[str], bool]) -> Iterator[tuple[str, BinaryIO]]:
     with open_binary(File(file.path, file.size), plain=True) as raw:
         if file.path.endswith(".zip"):

@@ -10,6 +10,7 @@ from readloom.operators import intervals as I
 from readloom.operators import transcriptome as T
 from readloom.operators.demux import BarcodeIndex, _edits, barcode_map, demultiplex, nearest_well
 from readloom.operators.search import find_fragments, longest_match
+from readloom.operators.variants import aligner_variants, own_haplotypes
 from readloom.plans import read_queries
 
 BED = "chrom string, start_pos bigint, end_pos bigint, name string, score bigint, strand string"
@@ -218,3 +219,19 @@ def test_matrix_has_every_library_of_the_design(spark, tmp_path):
     got = read_queries.count_matrix(spark, str(tmp_path))
     assert got.columns == ["ID", "R|empty", "R|own-1", "R|own-2"]
     assert [tuple(r) for r in got.collect()] == [("g", 0, 1, 2)]
+
+
+def test_variants(spark):
+    rows = [
+        ("c", 5, 6, "r1", "+", "A", "A/G", "single"), ("c", 5, 6, "r2", "-", "A", "T/C/G/C", "single"), ("c", 5, 7, "r3", "+", "AC", "A/G", "single"),
+        ("c", 8, 11, "r4", "+", "ACG", "-/ACG", "deletion"), ("c", 8, 8, "r5", "-", "-", "-/AC", "insertion"), ("c", 8, 9, "r6", "+", "A", "(LARGE)", "named"),
+        ("c", 1, 2, "r7", "+", None, "a/n", "single"), ("c", 1, 2, "r8", "+", "A", None, "single"),
+    ]
+    df = spark.createDataFrame(rows, "chrom string, start_pos bigint, end_pos bigint, name string, strand string, reference string, observed string, class string")
+    got = aligner_variants(df).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [
+        ("r1", "single", "c", 5, "G"), ("r2.1", "single", "c", 5, "G"), ("r2.2", "single", "c", 5, "C"), ("r4", "deletion", "c", 8, "3"),
+        ("r5", "insertion", "c", 8, "GT"), ("r7", "single", "c", 1, "A"),
+    ]
+    ends = {r.variants: (r.left_pos, r.right_pos) for r in own_haplotypes(aligner_variants(df)).collect()}
+    assert ends["r4"] == (8, 10) and ends["r1"] == (5, 5)

@@ -58,6 +58,8 @@ def test_reference_and_counts(spark, tmp_path):
     merged = X.region_set(spark, p("tx"), "coding_whole").collect()
     assert [(r.start_pos, r.end_pos, r.name) for r in merged] == [(0, 60, "G")]
     assert "G,g1:t1" in lines(tmp_path / "tx/coding_whole_accessions")
+    (head,) = [row for row in lines(tmp_path / "tx/coding_whole") if row.startswith("track")]
+    assert head.startswith("track name=CodingWhole description=") and head.endswith('colorByStrand="38,139,210 203,75,22"')
 
     refs = [("chr1", 120), ("RNA_SPIKE_E1", 100), ("RIBO_U13369.1", 8)]
     write_bam(tmp_path / "L1.bam", refs, [(0, 15, 0, 1), (0, 15, 0, 1), (0, 50, 0, 1), (1, 5, 0, 1), (1, 70, 0, 1), (2, 2, 16, 1), (0, 20, 0, 4)])
@@ -76,3 +78,14 @@ def test_reference_and_counts(spark, tmp_path):
     assert (row.BASE, row.note, row.TOTAL_READS, row.MAPPED_READS, row.MAPPED_RATE) == ("L1", "x", 10, 6, 0.6)
     assert (row.RIBOSOME_READS, row.SPIKEIN_READS, row.SPIKEIN_5END_READS, row.CODING_READS, row.CODING_5END_READS) == (1, 2, 1, 3, 2)
     assert (row.RELATIVE_POLYA_RNAS, row.CODING_5END_RATE) == (3.0, 2 / 3)
+
+
+def test_variation(spark, tmp_path):
+    rows = [("c", 7, 8, "rs2", "+", "A/T", "single"), ("c", 3, 5, "rs1", "-", "-/AC", "deletion")]
+    text = "".join(f"1\t{c}\t{s}\t{e}\t{n}\t0\t{d}\tA\tA\t{o}\tgenomic\t{k}\tx\n" for c, s, e, n, d, o, k in rows)
+    (tmp_path / "known.txt").write_text(text)
+    X.prepare_variation(spark, str(tmp_path / "snps.txt"), str(tmp_path / "out"), url=(tmp_path / "known.txt").as_uri(), download="only")
+    assert (tmp_path / "snps.txt").read_text() == text and not (tmp_path / "out").exists()
+    X.prepare_variation(spark, str(tmp_path / "snps.txt"), str(tmp_path / "out"))
+    assert lines(tmp_path / "out/snp") == ["rs1\tdeletion\tc\t3\t2", "rs2\tsingle\tc\t7\tT"]
+    assert lines(tmp_path / "out/haplotype") == ["ht_rs1\tc\t3\t4\trs1", "ht_rs2\tc\t7\t7\trs2"]
