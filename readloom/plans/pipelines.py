@@ -49,7 +49,7 @@ def prepare_reads(
     named = canonical.transform(annotate_index(umi_length + 1, umi_length + bc_length)).transform(annotate_umi(1, umi_length))
     s3 = demultiplex(named, barcodes, distance)
     s4 = checkpointed(exclude_duplicate(s3, ["well"]))  # read by both results, and several times by step 7
-    s6 = s4.transform(trim_3end_quality()).transform(trim_3end_primer())
+    s6 = checkpointed(s4.transform(trim_3end_quality()).transform(trim_3end_primer()))
     s7 = exclude_degenerate(s6, ["well"])
     s8 = trim_5end(tso + "+", minimum)(s7)
 
@@ -131,7 +131,7 @@ def depth_curve(
     left = F.length("kept") - F.col("cut")
     fitting = alike.where((F.col("cut") == 0) | (left >= whole))
     trimmed = fitting.select(F.left("kept", left).alias("seq"), F.explode("draws").alias("draw"))
-    counted = trimmed.groupBy("draw", "seq").agg(F.count("*").alias("n"))
+    counted = checkpointed(trimmed.groupBy("draw", "seq").agg(F.count("*").alias("n")))  # read twice
     kept = exclude_degenerate(counted, ["draw"])
     if tss:
         kept = trim_5end(head + "+", minimum)(kept.withColumn("qual", F.lit(None).cast("string"))).groupBy("draw", "seq").agg(F.lit(1).alias("n"))
