@@ -24,19 +24,20 @@ BIN = 64
 _NO_END = (1 << 62) - 1
 
 
-def _level(start: Column, end: Column, bin_size: int) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2((end - start) / bin_size) / 2)).cast("int")
+def _level(start: Column, end: Column, bin_size: int, bits: int = 2) -> Column:
+    """The bins of a level are ``2 ** bits`` times as long as those of the one below."""
+    return F.greatest(F.lit(0), F.ceil(F.log2((end - start) / bin_size) / bits)).cast("int")
 
 
-def _bin(position: Column, level: Column, bin_size: int) -> Column:
-    return F.floor(position / F.call_function("shiftleft", F.lit(bin_size).cast("bigint"), level * 2))
+def _bin(position: Column, level: Column, bin_size: int, bits: int = 2) -> Column:
+    return F.floor(position / F.call_function("shiftleft", F.lit(bin_size).cast("bigint"), level * bits))
 
 
-def _levels(bin_size: int, **sides: DataFrame) -> dict[str, list[int]]:
+def _levels(bin_size: int, bits: int = 2, **sides: DataFrame) -> dict[str, list[int]]:
     """Levels on which each side has intervals."""
     rows = None
     for name, df in sides.items():
-        own = df.select(F.lit(name).alias("side"), _level(F.col("start_pos"), F.col("end_pos"), bin_size).alias("level"))
+        own = df.select(F.lit(name).alias("side"), _level(F.col("start_pos"), F.col("end_pos"), bin_size, bits).alias("level"))
         rows = own if rows is None else rows.unionByName(own)
     found: dict[str, list[int]] = {name: [] for name in sides}
     for r in rows.distinct().collect():
@@ -44,13 +45,13 @@ def _levels(bin_size: int, **sides: DataFrame) -> dict[str, list[int]]:
     return found
 
 
-def _listed(df: DataFrame, start: str, end: str, level: str, others: Sequence[int], name: str, bin_size: int) -> DataFrame:
+def _listed(df: DataFrame, start: str, end: str, level: str, others: Sequence[int], name: str, bin_size: int, bits: int = 2) -> DataFrame:
     """A row per level and bin: on the own level, and on the higher ones of ``others``."""
     higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col(level))
     rows = df.withColumn(f"{name}_on", F.explode(F.concat(F.array(level), higher)))
     on = F.col(f"{name}_on")
     return rows.withColumn(
-        f"{name}_bin", F.explode(F.sequence(_bin(F.col(start), on, bin_size), _bin(F.col(end) - 1, on, bin_size)))
+        f"{name}_bin", F.explode(F.sequence(_bin(F.col(start), on, bin_size, bits), _bin(F.col(end) - 1, on, bin_size, bits)))
     )
 
 
@@ -94,15 +95,16 @@ def overlap_any(a: DataFrame, b: DataFrame, stranded: bool = True, bin_size: int
     pieces = _united(known, on, gaps=True)
     last = pieces.where("_piece = 'merged'").groupBy(*on).agg(F.max("end_pos").alias("start_pos"))
     pieces = pieces.unionByName(last.select(*on, F.lit("gap").alias("_piece"), "start_pos", F.lit(_NO_END).alias("end_pos")))
-    levels = _levels(bin_size, b=pieces)["b"]
+    # the pieces are disjoint, so even bins 16 times as long meet few of them, and rows are listed on half the levels
+    levels = _levels(bin_size, 4, b=pieces)["b"]
     pieces = pieces.select(
         *[F.col(c).alias(f"b_{c}") for c in (*on, "_piece", "start_pos", "end_pos")],
-        _level(F.col("start_pos"), F.col("end_pos"), bin_size).alias("b_level"),
+        _level(F.col("start_pos"), F.col("end_pos"), bin_size, 4).alias("b_level"),
     )
-    pieces = _listed(pieces, "b_start_pos", "b_end_pos", "b_level", [], "b", bin_size)
+    pieces = _listed(pieces, "b_start_pos", "b_end_pos", "b_level", [], "b", bin_size, 4)
     at = F.col("end_pos") - 1
     rows = a.where("start_pos < end_pos").withColumn("_on", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
-    rows = rows.withColumn("_bin", _bin(at, F.col("_on"), bin_size))
+    rows = rows.withColumn("_bin", _bin(at, F.col("_on"), bin_size, 4))
     cond = [F.col(c) == F.col(f"b_{c}") for c in on] + [F.col("_on") == F.col("b_on"), F.col("_bin") == F.col("b_bin")]
     cond += [F.col("b_start_pos") <= at, at < F.col("b_end_pos"), (F.col("b__piece") == "merged") | (F.col("start_pos") < F.col("b_start_pos"))]
     return rows.join(pieces, cond, "left_semi").drop("_on", "_bin")
