@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.columns import five_prime_start, ieee_div, seq_length
 from readloom.operators.intervals import overlap_any, overlap_pairs
+from readloom.session import shuffle_partitions
 
 SPIKE = "RNA_SPIKE_"
 RIBOSOME = "RIBO_"
@@ -55,10 +56,38 @@ def count_distinct_per_region(regions: DataFrame, ends: DataFrame, samples: Data
     """Distinct names of overlapping 5' ends per region and sample, long form: ID, sample, n.
 
     ``ends`` are BED rows with a ``base``; ``samples`` maps sample to base, one row per pair.
+
+    Samples with the same bases have the same counts, and ends that were seen in the same bases count alike: both are
+    counted as one, so only the result itself has a row for every region and sample.
     """
     pairs = overlap_pairs(regions, ends).select(F.col("a_name").alias("ID"), F.col("b_name").alias("end_name"), F.col("b_base").alias("base"))
-    found = pairs.distinct().join(samples, "base")
-    return found.groupBy("ID", "sample").agg(F.count_distinct("end_name").alias("n"))
+    seen = pairs.where("base is not null").groupBy("ID", "end_name").agg(F.sort_array(F.collect_set("base")).alias("seen"))
+    seen = seen.groupBy("ID", "seen").agg(F.count("end_name").alias("k"))
+    names = samples.where("base is not null").groupBy("sample").agg(F.sort_array(F.collect_set("base")).alias("bases"))
+    sets = names.select("bases").distinct()
+    met = _dealt_join(seen.withColumn("base", F.explode("seen")), sets.withColumn("base", F.explode("bases")), "base", "ID")
+    met = met.where(F.array_min(F.array_intersect("seen", "bases")) == F.col("base"))  # each once
+    counted = met.groupBy("ID", "bases").agg(F.sum("k").alias("n"))
+    bundle = F.pmod(F.xxhash64("sample"), F.lit(names.count() // _BUNDLE + 1))
+    bundles = names.groupBy("bases", bundle.alias("bundle")).agg(F.collect_list(F.struct("sample")).alias("samples"))
+    found = _dealt_join(counted, bundles, "bases", "ID")
+    return found.select("ID", F.explode("samples").alias("s"), "n").select("ID", F.col("s.sample").alias("sample"), "n")
+
+
+#: Samples in a bundle, about; shares in which the rows of one key are dealt out.
+_BUNDLE, _SHARES = 4096, 32
+
+
+def _dealt_join(rows: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
+    """Join on a column of few values: rows are dealt out by ``by``, and ``few`` goes to every share.
+
+    What comes out is much larger than what is shuffled, so the number of tasks is not left to the sizes of the sides.
+    """
+    spark = rows.sparkSession
+    tasks = max(shuffle_partitions(spark), 8 * spark.sparkContext.defaultParallelism)
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(_SHARES)).cast("int")).repartition(tasks, on, "_share")
+    few = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1)))).repartition(tasks, on, "_share")
+    return rows.join(few, [on, "_share"]).drop("_share")
 
 
 def wide(long: DataFrame, key: str, column: str, value: str, names: Sequence[str], prefix: str) -> DataFrame:

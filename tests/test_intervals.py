@@ -235,3 +235,49 @@ def test_variants(spark):
     ]
     ends = {r.variants: (r.left_pos, r.right_pos) for r in own_haplotypes(aligner_variants(df)).collect()}
     assert ends["r4"] == (8, 10) and ends["r1"] == (5, 5)
+
+
+def most_rows(df):
+    """Rows that the operator with most of them puts out, of a plan that ran."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        inner = node.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *(walk(inner.apply(i)) for i in range(inner.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_distinct_ends_of_many_samples_are_not_joined_one_by_one(spark):
+    regions = bed(spark, [("c", 0, 5000, "g", 0, "+")])
+    at = F.col("id")
+    ends = spark.range(3000).select(
+        F.lit("b").alias("base"), F.lit("c").alias("chrom"), at.alias("start_pos"), (at + 1).alias("end_pos"), at.cast("string").alias("name"), F.lit(0).alias("score"), F.lit("+").alias("strand")
+    )
+    samples = spark.range(2000).select(F.concat(F.lit("s"), "id").alias("sample"), F.lit("b").alias("base"))
+    out = C.count_distinct_per_region(regions, ends, samples)
+    rows = out.collect()
+    assert len(rows) == 2000 and {(r.ID, r.n) for r in rows} == {("g", 3000)}
+    assert most_rows(out) < 200_000  # a row per end and sample would be 6,000,000
+
+
+def test_distinct_ends_equal_nested_loop(spark):
+    rng = random.Random(11)
+    regions = [("c", s, s + rng.randint(1, 300), f"g{i % 9}", 0, "+") for i, s in enumerate(rng.randint(0, 900) for _ in range(14))]
+    ends = [(rng.choice(["a", "b", "c", "d", None]), "c", s, s + 1, rng.choice([None, *map(str, range(40))]), 0, "+") for s in (rng.randint(0, 1200) for _ in range(300))]
+    samples = [("s0", "a"), ("s1", "a"), ("s2", "b"), ("s2", "a"), ("s3", "a"), ("s3", "b"), ("s3", "d"), ("s4", "none"), (None, "c"), ("s5", None), *((f"t{i}", "d") for i in range(20))]
+    design = spark.createDataFrame(samples + samples[:3], "sample string, base string")
+    out = C.count_distinct_per_region(bed(spark, regions), spark.createDataFrame(ends, f"base string, {BED}"), design)
+    found = {}
+    for _, s, e, region, _, _ in regions:
+        for base, _, at, _, name, _, _ in ends:
+            for sample, b in samples:
+                if s <= at < e and base is not None and b == base:
+                    found.setdefault((region, sample), set()).update([] if name is None else [name])
+    assert out.columns == ["ID", "sample", "n"]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((*k, len(v))) for k, v in found.items())
