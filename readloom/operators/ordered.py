@@ -21,9 +21,12 @@ from readloom.session import checkpointed, shuffle_partitions
 BLOCK = 1 << 16
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Rows in total order with their rank from 1; sorted by range, never in one task."""
-    marked = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+def ranked(df: DataFrame, *order: Column, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows in total order with their rank from 1; sorted by range, never in one task.
+
+    Expressions in ``order`` are evaluated at every comparison; costly ones belong into columns, the ``keys``, which are not returned.
+    """
+    marked = checkpointed(df.orderBy(*order).drop(*keys).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row per task
     before = sizes.select(
@@ -39,10 +42,20 @@ def sorted_reads(df: DataFrame) -> DataFrame:
     return ranked(df, read_line("seq", "sep", "qual").desc(), F.desc("acc"), F.col("ordinal"))
 
 
-def index_sorted_reads(df: DataFrame) -> DataFrame:
-    """Ascending from the second blank-separated field of the line on, then by the line."""
+def index_sorted_reads(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """Ascending from the second blank-separated field of the line on, then by the line; only the columns ``keep``, if given."""
     line = read_line("acc", "seq", "sep", "qual")
-    return ranked(df, F.regexp_extract(line, r"^\S*([\s\S]*)$", 1), line, F.col("ordinal"))
+    # a tab follows the first value, so the first field ends within it or with it
+    first = F.coalesce("acc", "seq", "sep", "qual", F.lit(""))
+    n = F.length(F.regexp_extract(first, r"^[^\t\n\f\r ]*", 0))
+    # of lines with the same rest, the first fields and the blank behind them have the order of the lines
+    rows = df.select(
+        *(df.columns if keep is None else keep),
+        F.substring(line, n + 1, F.length(line)).alias("_rest"),
+        F.substring(line, F.lit(1), n + 1).alias("_field"),
+        F.col("ordinal").alias("_ordinal"),
+    )
+    return ranked(rows, F.col("_rest"), F.col("_field"), F.asc_nulls_last("_ordinal"), keys=["_rest", "_field", "_ordinal"])
 
 
 def exclude_duplicate_in_order(df: DataFrame, order: str = "ordinal", block: int = BLOCK) -> DataFrame:

@@ -237,7 +237,7 @@ _WHOLE = "concat_ws(chr(9), acc, seq, sep, qual)"
 
 @query(f"select ordinal, row_number() over (order by regexp_extract({_WHOLE}, '^\\S*([\\s\\S]*)$', 1), {_WHOLE}, ordinal) as rank from reads where seq is not null")
 def sort_index(spark, d):
-    return O.index_sorted_reads(reads(spark, d).where("seq is not null")).select("ordinal", "rank")
+    return O.index_sorted_reads(reads(spark, d).where("seq is not null"), ["ordinal"])
 
 
 _W1 = "qualify row_number() over (partition by {}seq order by concat_ws(chr(9), sep, qual) desc, acc desc, ordinal) = 1"

@@ -1,10 +1,12 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from readloom.operators import ordered as O
 from readloom.operators import reads as R
+from readloom.plans import read_queries
 
 
 def rows(df, *cols):
@@ -162,6 +164,29 @@ def test_ranks(reads_of):
     assert [r.acc for r in O.index_sorted_reads(df).orderBy("rank").collect()] == [r[0] for r in order]
 
 
+def test_index_order_compares_columns(reads_of, monkeypatch):
+    plans, cut = [], O.checkpointed
+    monkeypatch.setattr(O, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    out = O.index_sorted_reads(reads_of(("@a x", "AC", "II"), ("@b", "CA", "II")))
+    assert out.columns == ["ordinal", "acc", "seq", "sep", "qual", "rank"] and out.count() == 2
+    sort = next(line for line in plans[0].split("\n") if "Sort [" in line)
+    assert "regexp" not in sort and "concat" not in sort  # these would run at every comparison
+
+
+def test_index_order_of_odd_lines_equals_sql(spark, tmp_path):
+    rng = random.Random(5)
+    accs = ["@a", "@a x", "@a\x01 x", "@a\x01", "@a\x1f x", "@a\tx", "@a\x0bx", "@a\x0bx y", "@ab x", "@b x", "", " x", "@\u00e9 x", "@\U0001f9ec x", "@a\nx", "@a\u00a0x", None]
+    data = [(rng.choice(accs), rng.choice(["AC", "AG", "", "A C"]), rng.choice(["+", None]), rng.choice(["II", None])) for _ in range(600)]
+    ordinals = [*range(599), None]
+    rng.shuffle(ordinals)
+    reads = spark.createDataFrame([(o, *r) for o, r in zip(ordinals, data)], "ordinal bigint, acc string, seq string, sep string, qual string")
+    reads.write.parquet(f"{tmp_path}/reads.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view reads as select * from '{tmp_path}/reads.parquet/*.parquet'")
+    got = read_queries.sort_index(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, c.execute(read_queries.SQL["sort_index"]).fetchall()))
+
+
 def test_empty(reads_of):
     df = reads_of("A").limit(0)
     assert O.sorted_reads(df).count() == 0
